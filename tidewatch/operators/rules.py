@@ -79,7 +79,7 @@ def threat_scores(rows: DataFrame, sites: list[tuple[str, float, float, float]],
     dark = clamp((F.unix_timestamp(as_of) - F.unix_timestamp("last_seen")) / 60 / 1440 * 100)
     over = clamp(F.when(F.col("speed") > F.col("speed_limit"), (F.col("speed") - F.col("speed_limit")) / F.col("speed_limit") * 100).otherwise(0.0))
     score = clamp(0.35 * F.when(F.col("sanctioned"), 100.0).otherwise(0.0) + 0.25 * clamp(F.col("anomaly")) + 0.20 * near + 0.12 * dark + 0.08 * over)
-    score = F.round(score, 4)
+    score = F.round(score, 2)
     whole = F.floor(score)
     level = F.when(whole <= 24, "green").when(whole <= 49, "yellow").when(whole <= 74, "orange").otherwise("red")
     return rows.select("entity_id", score.alias("score"), level.alias("level"))

@@ -271,9 +271,9 @@ def _(spark, d):
     return tracks.dwell(model.tracks(spark, d), 9.0, 1200)
 
 
-@register("track_pattern_of_life", T + ", h AS (SELECT entity_id, hour(ts) AS hour, count(*) AS n FROM t GROUP BY 1, 2), a AS (SELECT entity_id, list_sort(list(hour)) AS hours FROM h JOIN (SELECT entity_id, max(n) AS p FROM h GROUP BY 1) USING (entity_id) WHERE n > 0.5 * p GROUP BY 1) SELECT entity_id, count(*) AS n, round(avg(speed), 4) AS mean_speed, round(stddev_pop(speed), 4) AS std_speed, min(lat) AS min_lat, max(lon) AS max_lon, any_value(a.hours) AS hours FROM t JOIN a USING (entity_id) GROUP BY 1")
+@register("track_pattern_of_life", T + ", h AS (SELECT entity_id, hour(ts) AS hour, count(*) AS n FROM t GROUP BY 1, 2), a AS (SELECT entity_id, list_sort(list(hour)) AS hours FROM h JOIN (SELECT entity_id, max(n) AS p FROM h GROUP BY 1) USING (entity_id) WHERE n > 0.5 * p GROUP BY 1) SELECT entity_id, count(*) AS n, round(avg(speed) + 1e-9, 3) AS mean_speed, round(stddev_pop(speed) + 1e-9, 3) AS std_speed, min(lat) AS min_lat, max(lon) AS max_lon, any_value(a.hours) AS hours FROM t JOIN a USING (entity_id) GROUP BY 1")
 def _(spark, d):
-    return tracks.pattern_of_life(model.tracks(spark, d)).select("entity_id", "n", F.round("mean_speed", 4).alias("mean_speed"), F.round("std_speed", 4).alias("std_speed"), "min_lat", "max_lon", F.col("hours").cast("array<bigint>").alias("hours"))
+    return tracks.pattern_of_life(model.tracks(spark, d)).select("entity_id", "n", F.round(F.col("mean_speed") + 1e-9, 3).alias("mean_speed"), F.round(F.col("std_speed") + 1e-9, 3).alias("std_speed"), "min_lat", "max_lon", F.col("hours").cast("array<bigint>").alias("hours"))
 
 
 @register("track_anomaly")
@@ -332,7 +332,7 @@ def _(spark, d):
 
 SITES = [("a", 20.0, 10.0, 500.0), ("b", -10.0, 30.0, 800.0)]
 _NEAR = " , ".join(f"CASE WHEN d{i} <= {r} THEN 100.0 WHEN d{i} <= {2 * r} THEN ({2 * r} - d{i}) / {r} * 100 ELSE 0.0 END" for i, (_, _, _, r) in enumerate(SITES))
-THREAT = T + f", l AS (SELECT entity_id, max_by(lat, (ts, event_id)) AS lat, max_by(lon, (ts, event_id)) AS lon, max_by(speed, (ts, event_id)) AS speed, max(ts) AS last_seen, entity_id % 17 = 0 AS sanctioned, CAST(entity_id % 101 AS DOUBLE) AS anomaly FROM t GROUP BY entity_id), m AS (SELECT *, {', '.join(f'{hav('lat', 'lon', f'{la}e0', f'{lo}e0')} AS d{i}' for i, (_, la, lo, _) in enumerate(SITES))}, least(greatest((floor(epoch((SELECT max(ts) FROM t))) - floor(epoch(last_seen))) / 60 / 1440 * 100, 0), 100) AS dark FROM l), s AS (SELECT entity_id, round(least(greatest(0.35 * CASE WHEN sanctioned THEN 100.0 ELSE 0.0 END + 0.25 * anomaly + 0.20 * greatest(0.0, {_NEAR}) + 0.12 * dark + 0.08 * least(greatest(CASE WHEN speed > 20 THEN (speed - 20) / 20 * 100 ELSE 0 END, 0), 100), 0), 100), 4) AS score FROM m) SELECT entity_id, score, CASE WHEN floor(score) <= 24 THEN 'green' WHEN floor(score) <= 49 THEN 'yellow' WHEN floor(score) <= 74 THEN 'orange' ELSE 'red' END AS level FROM s"
+THREAT = T + f", l AS (SELECT entity_id, max_by(lat, (ts, event_id)) AS lat, max_by(lon, (ts, event_id)) AS lon, max_by(speed, (ts, event_id)) AS speed, max(ts) AS last_seen, entity_id % 17 = 0 AS sanctioned, CAST(entity_id % 101 AS DOUBLE) AS anomaly FROM t GROUP BY entity_id), m AS (SELECT *, {', '.join(f'{hav('lat', 'lon', f'{la}e0', f'{lo}e0')} AS d{i}' for i, (_, la, lo, _) in enumerate(SITES))}, least(greatest((floor(epoch((SELECT max(ts) FROM t))) - floor(epoch(last_seen))) / 60 / 1440 * 100, 0), 100) AS dark FROM l), s AS (SELECT entity_id, round(least(greatest(0.35 * CASE WHEN sanctioned THEN 100.0 ELSE 0.0 END + 0.25 * anomaly + 0.20 * greatest(0.0, {_NEAR}) + 0.12 * dark + 0.08 * least(greatest(CASE WHEN speed > 20 THEN (speed - 20) / 20 * 100 ELSE 0 END, 0), 100), 0), 100), 2) AS score FROM m) SELECT entity_id, score, CASE WHEN floor(score) <= 24 THEN 'green' WHEN floor(score) <= 49 THEN 'yellow' WHEN floor(score) <= 74 THEN 'orange' ELSE 'red' END AS level FROM s"
 
 
 def _threat(spark, d):
@@ -342,9 +342,9 @@ def _threat(spark, d):
     return rules.threat_scores(rows, SITES, F.lit(t.agg(F.max("ts").alias("now")).first()["now"]))
 
 
-@register("threat_assess", f"SELECT entity_id, round(score, 2) AS score, level FROM ({THREAT})")
+@register("threat_assess", f"SELECT entity_id, score, level FROM ({THREAT})")
 def _(spark, d):
-    return _threat(spark, d).withColumn("score", F.round("score", 2))
+    return _threat(spark, d)
 
 
 @register("threat_summary", f"SELECT level, count(*) AS n FROM ({THREAT}) GROUP BY 1")
