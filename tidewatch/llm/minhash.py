@@ -5,7 +5,7 @@ both the smallest and the largest image are kept, so one hash evaluation gives t
 signature values; 120 permutations give 240 values and 48 bands of five.
 
 1. Documents with equal sets collapse to one class (a 64-bit digest of the set).
-2. Every band bucket links its classes to its two extreme members only (a star, so
+2. Every band bucket links its classes to its first member only (a star, so
    rows stay linear in the bucket), and stars whose signatures agree too little to
    matter are dropped.  What hangs together is a family.
 3. Families are cut into bounded cells in which every pair meets exactly once.  There
@@ -33,6 +33,7 @@ from .common import small_batches, staged
 from .graph import cells, components
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 120, 48, 5
+ORDERS = (0x0, 0x5DEECE66D1234567, 0x3C6EF372FE94F82A, 0x2545F4914F6CDD1D)
 #: A star is kept in a family if at least so much of the signatures agrees (a member linked to
 #: the centre puts its own partners at a true similarity of 0.5 or more).
 FAMILY_AGREEMENT = 0.40
@@ -179,10 +180,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = staged(docs.mapInArrow(_sign, "doc_id long, n_shingles long, key long, sig binary, bands array<long>"), "signed")
     named = signed.where("key is not null and doc_id is not null")
 
-    salted = named.select("key", F.explode("bands").alias("band")).withColumn("turned", F.col("key").bitwiseXOR(F.col("band")))
-    # the exclusive-or gives each bucket an order of its own, so the centres of the stars vary
-    stars = salted.groupBy("band").agg(F.min("turned").alias("p"), F.max("turned").alias("q")).where("p <> q")
-    ends = salted.select("key", "band").join(stars, "band").select("key", F.explode(F.array(F.col("p").bitwiseXOR(F.col("band")), F.col("q").bitwiseXOR(F.col("band")))).alias("centre"))
+    # four orders of the classes, dealt to the buckets by their hash, so the centres of the stars vary
+    order = F.element_at(F.array(*[F.lit(x) for x in ORDERS]), (F.pmod("band", F.lit(len(ORDERS))) + 1).cast("int"))
+    salted = named.select("key", F.explode("bands").alias("band")).withColumn("turned", F.col("key").bitwiseXOR(order))
+    stars = salted.groupBy("band").agg(F.min("turned").alias("p"), F.max("turned").alias("q")).where("p <> q").select("band", "p")
+    ends = salted.select("key", "band").join(stars, "band").select("key", F.col("p").bitwiseXOR(order).alias("centre"))
     pairs = ends.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
 
     classes = staged(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
