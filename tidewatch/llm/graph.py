@@ -52,4 +52,6 @@ def cells(rows: DataFrame, group: str, key: str, block: int = 128) -> DataFrame:
     own = F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.col("_blocks")).cast("int")
     out = rows.join(sized, group).withColumn("own", own)
     out = out.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return out.withColumn("cell_i", F.least("own", "_j")).withColumn("cell_j", F.greatest("own", "_j")).drop("_j", "_blocks")
+    out = out.withColumn("cell_i", F.least("own", "_j")).withColumn("cell_j", F.greatest("own", "_j")).drop("_j", "_blocks")
+    # dealt by cell: the rows' partitioning by group would satisfy a grouping by cell too, with a hot group in one task
+    return out.repartition(F.col(group), F.col("cell_i"), F.col("cell_j"))

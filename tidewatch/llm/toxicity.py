@@ -104,7 +104,7 @@ def _score(sent):
         w[index] = value
         for batch in batches:
             z = np.array([w[features(h)].sum() for h in _word_rows(batch.column("text"))]) + bias
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())], [*(c for c in batch.schema.names if c != "text"), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -700, 700)))), pa.float64())], [*(c for c in batch.schema.names if c != "text"), "score"])
 
     return run
 
