@@ -130,7 +130,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents") -> DataFrame:
-    """mode 'documents': rows that hold a window go.  mode 'spans': their hit words go, the rest of the text stays."""
+    """mode 'documents': rows that hold a window go.  mode 'spans': their hit words go, the rest of the text stays.
+
+    Words on either side of a removed span may meet in a window that was not in the text; it is not looked for again.
+    """
     found = scan(_boxed(docs), benchmark)
     if mode == "documents":
         return found.where("hit is null or size(hit) = 0").select("_doc.*")
@@ -148,13 +151,13 @@ def _boxed(docs: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import re
 
-    find = re.compile(PATTERN)
+    find, fold = re.compile(PATTERN), {c: c + 32 for c in range(65, 91)}
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for r, hit in enumerate(batch.column("hit").to_pylist()):
             if hit:
                 gone = set(hit)
-                spans = [m.span() for i, m in enumerate(find.finditer(texts[r])) if i in gone]
+                spans = [m.span() for i, m in enumerate(find.finditer(texts[r].translate(fold))) if i in gone]
                 out, at = [], 0
                 for s, e in spans:
                     out.append(texts[r][at:s])
