@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textcore as tc
 from .common import crc_mod, small_batches
 
-DIM_BITS, FIT_ROWS, CENTROIDS, LANGUAGES = 12, 4000, 4, 512
+DIM_BITS, FIT_ROWS, CENTROIDS, LANGUAGES = 12, 2000, 4, 512
 
 
 def _letters() -> np.ndarray:
@@ -68,9 +68,20 @@ def counts(arr) -> Iterator[np.ndarray]:
         yield total
 
 
+def _packed(c: np.ndarray) -> bytes:
+    """The non-zero counts only: their places, then their values."""
+    at = np.flatnonzero(c)
+    return at.astype(np.uint16).tobytes() + c[at].astype(np.float32).tobytes()
+
+
+def _unpack(x: bytes, out: np.ndarray) -> None:
+    n = len(x) // 6
+    out[np.frombuffer(x, np.uint16, n)] = np.frombuffer(x, np.float32, n, 2 * n)
+
+
 def _collect_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = pa.array([None if c is None else c.astype(np.float32).tobytes() for c in counts(batch.column("text"))], pa.binary())
+        x = pa.array([None if c is None else _packed(c) for c in counts(batch.column("text"))], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), x], ["doc_id", "lang", "x"])
 
 
@@ -103,9 +114,16 @@ def fit(docs: DataFrame, allowed, fit_rows: int = FIT_ROWS) -> dict:
     dim = 1 << DIM_BITS
     if not len(rows):
         return {"langs": [], "idf": np.ones(dim), "centroids": np.zeros((0, dim)), "owner": np.zeros(0, int), "limit": np.zeros(0)}
-    c = np.stack([np.frombuffer(x, np.float32) for x in rows["x"]])
-    idf = (np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 1).astype(np.float32)
-    x, lang = unit(c, idf), rows["lang"].to_numpy()
+    # one dense matrix of at most fit_rows rows, changed in place, so the driver holds little else
+    x = np.zeros((len(rows), dim), np.float32)
+    for i, packed in enumerate(rows["x"]):
+        _unpack(packed, x[i])
+    lang = rows["lang"].to_numpy()
+    del rows
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     langs = sorted(set(lang))[:LANGUAGES] if len(set(lang)) > LANGUAGES else sorted(set(lang))
     rng = np.random.default_rng(11)
     parts = [_cluster(x[lang == name], CENTROIDS, rng) for name in langs]
