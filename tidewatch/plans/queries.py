@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import geo
 from ..operators import graph, ingest, rules, store, tracks
+from ..sources import feeds
+from ..streaming import streams
 from . import model
 from .ql import Engine
 
@@ -425,3 +427,47 @@ def _(spark, d):
 def _(spark, d):
     e = model.read(spark, d, "events").select("event_id", F.concat(F.lit('{"a":{"b":'), "props", F.lit('},"c":[1,2]}')).alias("payload"))
     return e.select("event_id", F.element_at(ingest.flatten(F.col("payload")), "a.b.k").cast("long").alias("k"))
+
+
+@register("source_sbs", "SELECT 'icao:' || printf('%06X', user_id) AS entity_id, event_id, CAST(event_id % 100 AS DOUBLE) AS lat, value FROM events WHERE event_id % 5 IN (2, 3)")
+def _(spark, d):
+    icao, number = F.lpad(F.hex("user_id"), 6, "0"), F.col("event_id").cast("string")
+    line = F.concat_ws(",", F.lit("MSG"), (F.col("event_id") % 5).cast("string"), F.lit("1,1"), icao, F.lit("1,,,,"), number, F.lit("30000"), F.col("value").cast("string"), F.lit("90"), (F.col("event_id") % 100).cast("string"), F.lit("4.5,0,7000,0,0,0,0"))
+    rows = feeds.sbs(model.read(spark, d, "events").select(line.alias("value")))
+    return rows.select("entity_id", F.element_at("properties", "callsign").cast("long").alias("event_id"), "lat", F.element_at("properties", "speed").cast("double").alias("value"))
+
+
+@register("source_cef", "SELECT 'cef:ven|dor:prod:' || event_type AS entity_id, CASE WHEN event_id % 12 <= 3 THEN 'Low' WHEN event_id % 12 <= 6 THEN 'Medium' WHEN event_id % 12 <= 8 THEN 'High' WHEN event_id % 12 <= 10 THEN 'Very-High' ELSE 'Unknown' END AS severity, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1, 2")
+def _(spark, d):
+    line = F.concat(F.lit(r"CEF:0|ven\|dor|prod|1|"), "event_type", F.lit("|name|"), (F.col("event_id") % 12).cast("string"), F.lit("|src=10.0.0.1 msg=a b cn1="), F.col("event_id").cast("string"))
+    rows = feeds.cef(model.read(spark, d, "events").select(line.alias("value")))
+    return rows.groupBy("entity_id", F.element_at("properties", "severity").alias("severity")).agg(F.count("*").alias("n"), F.sum(F.element_at("properties", "ext_cn1").cast("long")).alias("ids"))
+
+
+@register("source_geojson", "SELECT 'e' || event_id AS entity_id, event_type AS entity_type, CAST(event_id % 90 AS DOUBLE) + 1.0e0 AS lat, CAST(event_id % 180 AS DOUBLE) AS lon FROM events")
+def _(spark, d):
+    lat, lon = (F.col("event_id") % 90).cast("string"), (F.col("event_id") % 180).cast("string")
+    above = (F.col("event_id") % 90 + 2).cast("string")
+    text = F.concat(F.lit('{"type":"Feature","id":"e'), F.col("event_id").cast("string"), F.lit('","geometry":{"type":"LineString","coordinates":[['), lon, F.lit(","), lat, F.lit("],["), lon, F.lit(","), above, F.lit(']]},"properties":{"entity_type":"'), "event_type", F.lit('"}}'))
+    return feeds.geojson(model.read(spark, d, "events").select(text.alias("value"))).drop("properties")
+
+
+@register("source_envelope", "SELECT 'u' || user_id AS entity_id, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
+def _(spark, d):
+    text = F.concat(F.lit('{"device_id":"u'), F.col("user_id").cast("string"), F.lit('","k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    rows = feeds.envelope(model.read(spark, d, "events").select(text.alias("value")), "sensor")
+    return rows.groupBy("entity_id").agg(F.count("*").alias("n"), F.sum(F.element_at("properties", "k").cast("long")).alias("k"))
+
+
+@register("stream_windows", "SELECT epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) AS window_start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2")
+def _(spark, d):
+    e = model.read(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    rows = streams.windowed(e, ["event_type"], "6 hours", [F.count("*").alias("n"), F.max("value").alias("top")])
+    return rows.select(F.unix_timestamp("window_start").cast("double").alias("window_start"), "event_type", "n", "top")
+
+
+@register("stream_sessions", "WITH o AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 12 HOUR, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, CAST(k AS BIGINT) AS session, count(*) AS n_events FROM s GROUP BY 1, 2")
+def _(spark, d):
+    rows = streams.sessions(model.read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), ["user_id"], "12 hours")
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("session_start"))
+    return rows.select("user_id", turn.cast("long").alias("session"), "n_events")
