@@ -55,3 +55,15 @@ def cells(rows: DataFrame, group: str, key: str, block: int = 128) -> DataFrame:
     out = out.withColumn("cell_i", F.least("own", "_j")).withColumn("cell_j", F.greatest("own", "_j")).drop("_j", "_blocks")
     # dealt by cell: the rows' partitioning by group would satisfy a grouping by cell too, with a hot group in one task
     return out.repartition(F.col(group), F.col("cell_i"), F.col("cell_j"))
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, fraction: int = 1000) -> DataFrame:
+    """rows(key, ...) with the columns of classes(key, copies, ...), where `copies` counts the rows of each key.
+
+    Classes of more than 1/fraction of the rows, which are fewer than `fraction` by that
+    alone, are broadcast; so no task gets all copies of a hot class.  Both tables are read
+    twice and should be staged.
+    """
+    hot = F.col("copies") > F.lit(rows.count() // fraction)
+    large, small = F.broadcast(classes.where(hot).drop("copies")), classes.where(~hot).drop("copies")
+    return rows.join(large, "key").unionByName(rows.join(large.select("key"), "key", "left_anti").join(small, "key"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textcore as tc
 from .common import small_batches, staged
-from .graph import cells, components
+from .graph import cells, components, join_classes
 
 COSINE, TABLES, PROJECTIONS, WIDTH, STAR_DISTANCE = 0.98, 50, 10, 1.2, 0.7
 
@@ -147,7 +147,7 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
     grouped = labels.toDF("key", "label").join(classes.select("key", "rep"), "key")
     lowest = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = grouped.join(lowest, "label").select("key", "component_id").join(n_links, "key", "left")
-    final = classes.select("key", "rep", "copies").join(linked, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    done = named.select("vec_id", "key").join(final, "key", "left").select("vec_id", "n_links", "component_id")
+    final = staged(classes.select("key", "rep", "copies").join(linked, "key", "left").select("key", "copies", F.coalesce("component_id", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "final")
+    done = join_classes(named.select("vec_id", "key"), final).select("vec_id", "n_links", "component_id")
     alone = hashed.where("key is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

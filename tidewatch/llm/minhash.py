@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textcore as tc
 from .common import small_batches, staged
-from .graph import cells, components
+from .graph import cells, components, join_classes
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 120, 48, 5
 ORDERS = (0x0, 0x5DEECE66D1234567, 0x3C6EF372FE94F82A, 0x2545F4914F6CDD1D)
@@ -39,8 +39,6 @@ ORDERS = (0x0, 0x5DEECE66D1234567, 0x3C6EF372FE94F82A, 0x2545F4914F6CDD1D)
 FAMILY_AGREEMENT = 0.40
 #: Pairs whose signatures agree less than this are not confirmed: five standard deviations below 0.75.
 PAIR_AGREEMENT = 0.61
-#: Classes that may be broadcast; a class counts as hot beyond the documents divided by this.
-HOT_CLASSES = 1000
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -204,13 +202,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lowest = found.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked = found.join(lowest, "label").select("key", "component_id")
     final = staged(classes.select("key", "rep", "copies").join(linked, "key", "left").select("key", "copies", F.coalesce("component_id", "rep").alias("component_id")), "final")
-
-    # classes of more than a thousandth of the documents, fewer than HOT_CLASSES by that alone, are broadcast: no task gets a hot class
-    hot = F.col("copies") > F.lit(named.count() // HOT_CLASSES)
-    large = F.broadcast(final.where(hot).select("key", "component_id"))
-    small = final.where(~hot).select("key", "component_id")
-    rows = named.select("doc_id", "n_shingles", "key")
-    with_key = rows.join(large, "key").unionByName(rows.join(large, "key", "left_anti").join(small, "key")).select("doc_id", "n_shingles", "component_id")
+    with_key = join_classes(named.select("doc_id", "n_shingles", "key"), final).select("doc_id", "n_shingles", "component_id")
     without = signed.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))
     out = with_key.unionByName(without)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
