@@ -104,6 +104,29 @@ def test_vectors(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links[i]), min(reach), min(reach) == i)
 
 
+def test_vectors_of_a_crowded_bucket(spark, monkeypatch):
+    """Pairs of a bucket are found however unlike its two extreme members are; one bucket for a label leaves no other way."""
+    import numpy as np
+
+    import pyarrow as pa
+
+    deal = lsh_vectors._deal
+
+    def one_bucket(batches):
+        for b in deal(batches):
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([[7]] * b.num_rows, pa.list_(pa.int64())), b.column("sketch")], ["key", "buckets", "sketch"])
+
+    monkeypatch.setattr(lsh_vectors, "_deal", one_bucket)
+    monkeypatch.setattr(lsh_vectors, "SKETCH_BLOCK", 200)
+    g = np.random.default_rng(4)
+    centre = g.standard_normal(64) / 8
+    base = np.array([x / np.linalg.norm(x) for x in centre + 0.9 * g.standard_normal((700, 64)) / 8])
+    rows = [(i, base[i].tolist(), 0) for i in range(700)] + [(1000 + i, (base[i] + 0.15 * g.standard_normal(64) / 8).tolist(), 0) for i in range(100)]
+    got = {r["vec_id"]: r for r in lsh_vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all((got[1000 + i]["n_links"], got[1000 + i]["component_id"]) == (1, i) for i in range(100))
+    assert sum(r["n_links"] for r in got.values()) == 200
+
+
 def test_toxicity(spark):
     r = random.Random(9)
     rows, labels = [], []

@@ -41,16 +41,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def cells(rows: DataFrame, group: str, key: str, block: int = 128) -> DataFrame:
+def cells(rows: DataFrame, group: str, key: str, block: int = 128, least: int = 1, more: DataFrame | None = None) -> DataFrame:
     """Add (cell_i, cell_j, own): every unordered pair of rows of a group meets in exactly one cell.
 
+    Groups of fewer than `least` rows are left out.  `more`(key, ...) is joined to the rows of the others.
+
     A group is cut into blocks of about `block` rows by a hash of the key, and each
     cell holds one or two blocks, so no task ever holds a whole group.  In a cell
     with cell_i < cell_j only pairs of different blocks (`own`) are to be compared.
     """
-    sized = rows.groupBy(group).agg(F.count("*").alias("_n")).select(group, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_blocks"))
+    sized = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(group, F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.col("_blocks")).cast("int")
     out = rows.join(sized, group).withColumn("own", own)
+    if more is not None:
+        out = out.join(more, key)
     out = out.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     out = out.withColumn("cell_i", F.least("own", "_j")).withColumn("cell_j", F.greatest("own", "_j")).drop("_j", "_blocks")
     # dealt by cell: the rows' partitioning by group would satisfy a grouping by cell too, with a hot group in one task

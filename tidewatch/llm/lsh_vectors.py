@@ -5,12 +5,15 @@ TABLES tables quantises PROJECTIONS Gaussian projections into cells of WIDTH; a
 bucket is (label, table, quantised projections).  A pair at distance 0.2 shares one
 table with probability 0.24, so it misses all 50 with 1e-6.
 
-Equal vectors of a label collapse to one class with a count.  Each bucket links its
-members to its two extreme members; stars of at most STAR_DISTANCE join classes into
-families, which are cut into bounded cells where every pair meets exactly once and
-the cosine in double precision decides.  A cell returns, for each of its vectors, the
-number of links found there and a spanning forest: rows grow with the vectors, not
-with the pairs.
+Equal vectors of a label collapse to one class with a count.  All members of a bucket
+are compared by sketches of SKETCH sign bits, in cells of bounded size: a pair at the
+limit differs in 16 bits on average and in more than SKETCH_BITS of them with 1e-9.  A cell
+returns a spanning forest of its pairs within SKETCH_BITS, so every pair of a shared
+bucket that could link is joined whatever else the bucket holds.  The forests join
+classes into families, which are cut into bounded cells where every pair meets exactly
+once and the cosine in double precision decides.  A cell returns, for each of its
+vectors, the number of links found there and a spanning forest: rows grow with the
+vectors, not with the pairs.
 
 Defined cases: a null label, a null or zero vector, or one with null or non-finite
 components links with nothing (n_links 0, its own component, kept).  Vectors of
@@ -25,13 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
 from .common import small_batches, staged
 from .graph import cells, components, join_classes
 
-COSINE, TABLES, PROJECTIONS, WIDTH, STAR_DISTANCE = 0.98, 50, 10, 1.2, 0.7
+COSINE, TABLES, PROJECTIONS, WIDTH = 0.98, 50, 10, 1.2
+SKETCH, SKETCH_BITS, SKETCH_BLOCK = 256, 46, 1024
 
 
 def _planes(dim: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +45,12 @@ def _planes(dim: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:
     return cache[dim]
 
 
+def _signs(dim: int, cache: dict = {}) -> np.ndarray:
+    if dim not in cache:
+        cache[dim] = np.random.default_rng([20240603, dim]).standard_normal((dim, SKETCH))
+    return cache[dim]
+
+
 def _finite(v: list | None) -> np.ndarray | None:
     if v is None or any(x is None for x in v):
         return None
@@ -61,30 +71,93 @@ def _buckets(x: np.ndarray, label: int) -> np.ndarray:
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = batch.column("label").to_pylist()
-        keys, vectors, buckets = [], [], []
+        keys, vectors = [], []
         for label, v in zip(labels, batch.column("embedding").to_pylist()):
             x = None if label is None else _finite(v)
             if x is None:
                 keys.append(None)
                 vectors.append(None)
-                buckets.append(None)
                 continue
             raw = (x + 0.0).tobytes()
             words = np.concatenate([np.frombuffer(raw, np.uint64), np.array([label & 0xFFFFFFFFFFFFFFFF, len(x)], np.uint64)])
             digest = tc.mix(tc.mix(words + np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64, keepdims=True))
             keys.append(int(digest.view(np.int64)[0]))
             vectors.append(raw)
-            buckets.append(_buckets(x / np.linalg.norm(x), label))
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(vectors, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["vec_id", "key", "vector", "buckets"])
-
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(vectors, pa.binary()), batch.column("label")], ["vec_id", "key", "vector", "label"])
 
-@F.pandas_udf(T.DoubleType())
-def _distance(x: pd.Series, y: pd.Series) -> pd.Series:
-    def far(p: bytes, q: bytes) -> float:
-        a, b = np.frombuffer(p), np.frombuffer(q)
-        return float(np.linalg.norm(a / np.linalg.norm(a) - b / np.linalg.norm(b))) if len(a) == len(b) else 9.0
 
-    return pd.Series([far(p, q) for p, q in zip(x, y)], dtype="float64")
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets and sketch of every class."""
+    for batch in batches:
+        buckets, sketches = [], []
+        for label, raw in zip(batch.column("label").to_pylist(), batch.column("vector").to_pylist()):
+            x = np.frombuffer(raw)
+            x = x / np.linalg.norm(x)
+            buckets.append(_buckets(x, label))
+            sketches.append(np.packbits(x @ _signs(len(x)) >= 0).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["key", "buckets", "sketch"])
+
+
+def _forest(near: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix of neighbours."""
+    seen = np.zeros(len(near), bool)
+    for i in np.flatnonzero(near.any(1)):
+        if not seen[i]:
+            seen[i] = True
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                new = np.flatnonzero(near[x] & ~seen)
+                seen[new] = True
+                todo.extend(new.tolist())
+                for y in new:
+                    yield x, y
+
+
+def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) for a spanning forest of each cell's pairs of near sketches; a partition is sorted by cell."""
+
+    def links(part: tuple[np.ndarray, ...]) -> tuple[list[int], list[int]]:
+        place, key, own, bits = part
+        out_a, out_b = [], []
+        starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(1)])
+        ends = np.r_[starts[1:], len(place)]
+        two = ends - starts == 2
+        p = starts[two]
+        hit = p[(np.bitwise_count(bits[p] ^ bits[p + 1]).sum(1) <= SKETCH_BITS) & ((place[p, 1] == place[p, 2]) | (own[p] != own[p + 1]))]
+        out_a.extend(key[hit].tolist())
+        out_b.extend(key[hit + 1].tolist())
+        for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
+            # the product of signs is SKETCH less twice the bits that differ
+            signs = np.unpackbits(bits[s:e], axis=1).astype(np.float32) * 2 - 1
+            near = signs @ signs.T >= SKETCH - 2 * SKETCH_BITS
+            np.fill_diagonal(near, False)
+            if place[s, 1] != place[s, 2]:
+                near &= own[s:e, None] != own[None, s:e]
+            for x, y in _forest(near):
+                out_a.append(int(key[s + x]))
+                out_b.append(int(key[s + y]))
+        return out_a, out_b
+
+    def emit(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        a, b = links(part)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "cell_i", "cell_j")], 1)
+        bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH // 8)
+        part = place, batch.column("key").to_numpy(), batch.column("own").to_numpy(), bits
+        if held is not None:
+            part = tuple(np.concatenate(x) for x in zip(held, part))
+        cut = int(np.flatnonzero((part[0] == part[0][-1]).all(1))[0])
+        if cut:
+            yield emit(tuple(x[:cut] for x in part))
+        held = tuple(x[cut:] for x in part)
+    if held is not None:
+        yield emit(held)
 
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,20 +179,10 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
             out_a.append(int(key[i]))
             out_b.append(None)
             out_n.append(int(links[i]))
-        seen = np.zeros(len(v), bool)
-        for i in np.flatnonzero(links):
-            if not seen[i]:
-                seen[i] = True
-                todo = [i]
-                while todo:
-                    x = todo.pop()
-                    new = np.flatnonzero(near[x] & ~seen)
-                    seen[new] = True
-                    todo.extend(new.tolist())
-                    for y in new:
-                        out_a.append(int(key[x]))
-                        out_b.append(int(key[y]))
-                        out_n.append(None)
+        for x, y in _forest(near):
+            out_a.append(int(key[x]))
+            out_b.append(int(key[y]))
+            out_n.append(None)
     return pd.DataFrame({"a": pd.array(out_a, "Int64"), "b": pd.array(out_b, "Int64"), "links": pd.array(out_n, "Int64")})
 
 
@@ -127,17 +190,14 @@ def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label)."""
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    hashed = staged(rows.mapInArrow(_hash, "vec_id long, key long, vector binary, buckets array<long>"), "hashed")
+    hashed = staged(rows.mapInArrow(_hash, "vec_id long, key long, vector binary, label long"), "hashed")
     named = hashed.where("key is not null and vec_id is not null")
-    classes = staged(named.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes")
-
-    salted = named.select("key", F.explode("buckets").alias("bucket")).withColumn("turned", F.col("key").bitwiseXOR(F.col("bucket")))
-    stars = salted.groupBy("bucket").agg(F.min("turned").alias("p"), F.max("turned").alias("q")).where("p <> q")
-    ends = salted.select("key", "bucket").join(stars, "bucket").select("key", F.explode(F.array(F.col("p").bitwiseXOR(F.col("bucket")), F.col("q").bitwiseXOR(F.col("bucket")))).alias("centre"))
-    pairs = ends.where("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-    v = classes.select("key", "vector")
-    judged = pairs.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b").select("a", "b", _distance("va", "vb").alias("far"))
-    families = components(judged.where(F.col("far") <= STAR_DISTANCE).select("a", "b"))
+    classes = staged(named.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("label").alias("label")), "classes")
+
+    dealt = staged(classes.select("key", "vector", "label").mapInArrow(_deal, "key long, buckets array<long>, sketch binary"), "dealt")
+    placed = cells(dealt.select("key", F.explode("buckets").alias("bucket")), "bucket", "key", SKETCH_BLOCK, 2, dealt.select("key", "sketch"))
+    near = placed.sortWithinPartitions("bucket", "cell_i", "cell_j").select("key", "bucket", "cell_i", "cell_j", "own", "sketch")
+    families = components(near.mapInArrow(_sketch_links, "a long, b long"))
 
     members = families.toDF("key", "family").join(classes.select("key", "copies", "vector"), "key")
     found = staged(cells(members, "family", "key").groupBy("family", "cell_i", "cell_j").applyInPandas(_compare, "a long, b long, links long"), "found")
