@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, graph, html_text, language, licenses, lsh_vectors, minhash, mixing, pii, tokens, toxicity
 
@@ -261,6 +262,20 @@ def test_language(spark):
     assert language.report(docs.limit(0)).count() == 0
 
 
+def test_rare_language(spark):
+    """A rare language is learned, and a fitting text that is its own centroid does not set its limit."""
+    r = random.Random(15)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(5)) for _ in range(12))
+    rows = [(i, text("abcdefghij"), "en") for i in range(300)] + [(1000 + i, text("klmnopqrstuvwxyz"), "xx") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True), 12)
+    assert model["langs"] == ["en", "xx"] and all(0 < x < 0.45 for x in model["limit"])
+    got = language.predict(docs, model).collect()
+    assert not any(x["rejected"] for x in got) and all(x["lang_pred"] == ("en" if x["doc_id"] < 1000 else "xx") for x in got)
+    one = language.fit(docs.where("doc_id = 1000 or doc_id < 300"), F.lit(True), 12)
+    assert one["limit"][one["langs"].index("xx")] == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -5,12 +5,15 @@ A text becomes counts of hashed byte bigrams and trigrams over its folded letter
 inverse document frequency of the fitting sample, and normalised.  Each language has
 several centroids from a spherical k-means, and the nearest one by cosine decides.
 Distance rejects: a text whose best cosine lies below its language's limit is marked
-`rejected`.  The limit is half of the lowest cosine any fitting text of that language
-had to its own language, so ordinary texts stay.
+`rejected`.  The limit is half of the lowest cosine any allowed labelled text of that
+language has to its own language, so ordinary texts stay; a fitting text counts with the
+centroids it would leave without it.  A language with one text in all has no limit.
 
-The fit uses at most FIT_ROWS rows (the lowest by a hash of the id, a parameter);
-everything else reads all rows and whole texts.  Centroids are at most
-LANGUAGES * CENTROIDS * DIM floats and are broadcast behind that bound.
+The centroids are fitted on at most FIT_ROWS rows, dealt to the languages in turn by a
+hash of the id, at most LANG_ROWS of each: a rare language gives all it has before a
+common one gives more.  Everything else, the limits too, reads all rows and whole texts.
+Centroids are at most FIT_ROWS * DIM floats and are broadcast behind that bound; labels
+beyond FIT_ROWS different ones are not learned.
 
 Defined cases: null text, or text without a letter -> `und`, score 0, rejected.
 Without any usable label every text is `und`.  Ties go to the first language by name.
@@ -23,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
 from . import textcore as tc
 from .common import crc_mod, small_batches
 
-DIM_BITS, FIT_ROWS, CENTROIDS, LANGUAGES = 12, 2000, 4, 512
+DIM_BITS, FIT_ROWS, CENTROIDS, LANG_ROWS = 12, 4000, 4, 1000
 
 
 def _letters() -> np.ndarray:
@@ -91,26 +94,58 @@ def unit(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def _cluster(x: np.ndarray, k: int, rng) -> np.ndarray:
-    """Spherical k-means; k is lowered to the number of rows."""
+def _cluster(x: np.ndarray, k: int, rng) -> tuple[np.ndarray, float]:
+    """Spherical k-means, k lowered to the number of rows, and the lowest cosine of a row to the centroids left without it."""
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(12):
         own = (x @ c.T).argmax(1)
-        c = np.stack([x[own == j].sum(0) if (own == j).any() else c[j] for j in range(k)])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+        total = np.stack([x[own == j].sum(0) if (own == j).any() else c[j] for j in range(k)])
+        c = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+    cos = x @ c.T
+    for j in range(k):
+        at = np.flatnonzero(own == j)
+        if len(at) > 1:
+            dot = x[at] @ total[j]
+            left = np.sqrt(np.maximum(total[j] @ total[j] - 2 * dot + 1, 1e-12))
+            cos[at, j] = (dot - 1) / left
+        else:
+            cos[at, j] = -1.0  # its own centroid, no evidence
+    return c, float(cos.max(1).min()) if len(x) > 1 else np.inf
+
+
+def _lowest(sent):
+    """(lang, low): the lowest cosine of a batch's rows to their own language, rows of the fit left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        place = {name: np.flatnonzero(m["owner"] == i) for i, name in enumerate(m["langs"])}
+        for batch in batches:
+            low: dict[str, float] = {}
+            for key, name, c in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), counts(batch.column("text"))):
+                if c is None or name not in place or (key, name) in m["fitted"]:
+                    continue
+                cos = float((m["centroids"][place[name]] @ unit(c.astype(np.float32), m["idf"])).max())
+                low[name] = min(cos, low.get(name, np.inf))
+            yield pa.RecordBatch.from_arrays([pa.array(list(low), pa.string()), pa.array(list(low.values()), pa.float64())], ["lang", "low"])
+
+    return run
 
 
 def fit(docs: DataFrame, allowed, fit_rows: int = FIT_ROWS) -> dict:
     """Model from text and non-null lang of the rows for which the column `allowed` holds."""
     small_batches(docs.sparkSession)
     usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = usable.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    # at most fit_rows rows of 8 bytes
-    rows = texts.join(F.broadcast(ids), "doc_id").mapInArrow(_collect_counts, "doc_id long, lang string, x binary").where("x is not null").toPandas()
-    rows = rows.sort_values(["doc_id", "lang", "x"]).drop_duplicates("doc_id")
+    turn = F.xxhash64("doc_id")
+    named = texts.where(F.col("text").rlike(r"(?U)[^\W\d_]")).select("doc_id", "lang").distinct().withColumn("part", F.pmod(turn, F.lit(64)))
+    # first within 64 parts of a language, so that no task sorts a whole common one
+    some = named.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(turn, "doc_id"))).where(F.col("n") <= LANG_ROWS)
+    some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(turn, "doc_id"))).where(F.col("n") <= LANG_ROWS)
+    ids = some.orderBy("n", turn, "doc_id", "lang").select("doc_id", "lang").limit(fit_rows)
+    # at most fit_rows rows of 8 bytes and a label
+    rows = texts.join(F.broadcast(ids), ["doc_id", "lang"]).mapInArrow(_collect_counts, "doc_id long, lang string, x binary").where("x is not null")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id", "lang"])
     dim = 1 << DIM_BITS
     if not len(rows):
         return {"langs": [], "idf": np.ones(dim), "centroids": np.zeros((0, dim)), "owner": np.zeros(0, int), "limit": np.zeros(0)}
@@ -119,16 +154,21 @@ def fit(docs: DataFrame, allowed, fit_rows: int = FIT_ROWS) -> dict:
     for i, packed in enumerate(rows["x"]):
         _unpack(packed, x[i])
     lang = rows["lang"].to_numpy()
+    fitted = set(zip(rows["doc_id"].tolist(), lang))
     del rows
     idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
     np.log1p(x, out=x)
     x *= idf
     x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
-    langs = sorted(set(lang))[:LANGUAGES] if len(set(lang)) > LANGUAGES else sorted(set(lang))
+    langs = sorted(set(lang))
     rng = np.random.default_rng(11)
-    parts = [_cluster(x[lang == name], CENTROIDS, rng) for name in langs]
-    limit = np.array([0.5 * float((x[lang == name] @ p.T).max(1).min()) for name, p in zip(langs, parts)])
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(parts).astype(np.float32), "owner": np.repeat(np.arange(len(parts)), [len(p) for p in parts]), "limit": limit}
+    parts, lows = zip(*[_cluster(x[lang == name], CENTROIDS, rng) for name in langs])
+    del x
+    model = {"langs": langs, "idf": idf, "centroids": np.concatenate(parts).astype(np.float32), "owner": np.repeat(np.arange(len(parts)), [len(p) for p in parts])}
+    sent = docs.sparkSession.sparkContext.broadcast(model | {"fitted": fitted})
+    others = {r["lang"]: r["low"] for r in texts.select("doc_id", "lang", "text").mapInArrow(_lowest(sent), "lang string, low double").groupBy("lang").agg(F.min("low").alias("low")).collect()}
+    lows = [min(low, others.get(name, np.inf)) for name, low in zip(langs, lows)]
+    return model | {"limit": np.array([0.5 * low if np.isfinite(low) else 0.0 for low in lows])}
 
 
 def _assign(sent):
