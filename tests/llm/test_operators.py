@@ -177,6 +177,20 @@ def test_licenses(spark):
     assert [r["coverage"] for r in got if r["doc_id"] == 1] == [1.0] and 0.9 < next(r["coverage"] for r in got if r["doc_id"] == 2) < 1
 
 
+@pytest.mark.parametrize("text, spans", [
+    ("Released under the MIT License. Released under the MIT License.", [(0, 5), (5, 10)]),
+    ("Released under the MIT License. And this too. Released under the MIT License.", [(0, 5), (8, 13)]),
+    ("Released under the MIT License see the file called license", [(0, 5)]),
+    ("see Released under the MIT License " * 4, [(1, 6), (7, 12), (13, 18), (19, 24)]),
+])
+def test_repeated_statements(text, spans):
+    import numpy as np
+
+    index, own = licenses.build_index(licenses.TEMPLATES)
+    got = licenses.matches(licenses._words_of(text)[0], index, own, np.array(sorted(index), np.uint64))
+    assert [(x[0], x[1], x[3], x[4]) for x in got] == [("MIT-statement", 5, *x) for x in spans]
+
+
 def test_decontamination(spark):
     r = random.Random(8)
     items = [(i, " ".join(words(25, r))) for i in range(6)] + [(6, "one two three"), (7, None), (8, "?!"), (9, items_first := " ".join(words(12, r))), (9, items_first)]

@@ -16,6 +16,7 @@ times is reported each time; null doc_id stays null; repeated rows are reported
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,13 +81,14 @@ def build_index(templates: dict[str, str]) -> tuple[dict[int, list[tuple[str, in
 def align(text: list[int], template: list[int], shift: int, band: int = BAND) -> tuple[int, int, int]:
     """Most template words matched in order within `band` of the diagonal text = template + shift, and the span (first, last + 1) in the text.
 
-    Among equal matches the shortest span counts.
+    Among equal matches the shortest span counts, then the first.
     """
     n, m = len(text), len(template)
-    # best[d] for text place template + shift + d: (matched, -span start)
+    # row[d] for text place template + shift + d: (matched, span start); of equal matches the latest start, as the end is still open
     width = 2 * band + 1
-    none = (0, -(1 << 60), -1)
+    none = (0, -1)
     row = [none] * (width + 1)
+    top = (0, 0, 0)  # (matched, -length, -start)
     for i in range(m):
         new = [none] * (width + 1)
         for d in range(width):
@@ -94,15 +96,16 @@ def align(text: list[int], template: list[int], shift: int, band: int = BAND) ->
             best = max(row[d + 1] if d + 1 < width else none, new[d - 1] if d else none)
             if 0 <= at < n and text[at] == template[i]:
                 # row[d] is the best of the template words before i and the text words before `at`
-                matched, start, _ = row[d]
-                found = (matched + 1, start if matched else -at, at + 1)
+                matched, start = row[d]
+                found = (matched + 1, start if matched else at)
+                top = max(top, (found[0], found[1] - at - 1, -found[1]))
                 best = max(best, found)
             else:
                 best = max(best, row[d])
             new[d] = best
         row = new
-    matched, start, end = max(row)
-    return (matched, -start, end) if matched else (0, 0, 0)
+    matched, length, start = top
+    return matched, -start, -start - length
 
 
 def matches(h: np.ndarray, index: dict, own: dict[str, list[int]], known: np.ndarray) -> list[tuple[str, int, float, int, int]]:
@@ -111,22 +114,31 @@ def matches(h: np.ndarray, index: dict, own: dict[str, list[int]], known: np.nda
     at = np.flatnonzero(np.isin(grams, known)) if len(grams) else []
     if not len(at):
         return []
-    shifts: dict[str, list[int]] = {}
+    hits: dict[str, list[tuple[int, int]]] = {}
     for i in at.tolist():
         for name, place in index[int(grams[i])]:
-            shifts.setdefault(name, []).append(i - place)
-    words, out = None, []
-    for name, diagonals in shifts.items():
-        template, done = own[name], None
-        for shift in sorted(set(diagonals)):
-            if done is not None and shift - done <= BAND // 2:
-                continue  # the band of the last alignment covers it
-            done = shift
-            low = max(0, shift - BAND)
-            words = h[low : shift + len(template) + BAND + 1].tolist()
-            matched, first, last = align(words, template, shift - low)
-            if matched >= MIN_COVERAGE * len(template):
+            hits.setdefault(name, []).append((i - place, i))
+    out = []
+    for name, places in hits.items():
+        template, tried = own[name], set()
+        taken: list[tuple[int, int]] = []  # spans found so far, in order and apart
+        for shift, i in sorted(places):
+            while True:
+                k = bisect_right(taken, (i, len(h)))
+                if k and i < taken[k - 1][1]:
+                    break  # a span found before holds this hit
+                # the words between the spans beside it, so that a repeated statement is found by itself
+                left, right = taken[k - 1][1] if k else 0, taken[k][0] if k < len(taken) else len(h)
+                if (shift, left, right) in tried:
+                    break
+                tried.add((shift, left, right))
+                low = max(left, shift - BAND)
+                words = h[low : max(low, min(right, shift + len(template) + BAND + 1))].tolist()
+                matched, first, last = align(words, template, shift - low)
+                if matched < MIN_COVERAGE * len(template):
+                    break
                 out.append((name, matched, matched / len(template), first + low, last + low))
+                insort(taken, (first + low, last + low))
     out.sort(key=lambda x: (-x[1], x[0], x[3]))
     kept: list[tuple] = []
     for x in out:
