@@ -74,6 +74,18 @@ def test_audit_chain(spark):
     assert [r[0] for r in rules.verify_chain(bad, ["seq", "op"]).collect()] == [7]
 
 
+def test_fuzzy_screen_of_short_names(spark):
+    names = spark.createDataFrame([("a", "LEE"), ("b", "lee."), ("c", "Wu"), ("d", ""), ("e", None), ("f", "LEES")], "entity_id string, name string")
+    listed = spark.createDataFrame([(1, "Lees"), (2, "LEE"), (3, "Somebody"), (4, "Wux")], "list_id long, list_name string")
+    got = sorted((r[0], r[1], r[2]) for r in rules.fuzzy_screen(names, listed).select("entity_id", "list_id", "score").collect())
+    assert got == [("a", 1, 75), ("a", 2, 100), ("b", 1, 75), ("b", 2, 100), ("f", 1, 100), ("f", 2, 75)]
+
+
+def test_screening_of_the_whole_list(spark):
+    customers = spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert Q.QUERIES["watch_exact_all"](spark, SF).select("list_id").distinct().count() == customers
+
+
 def test_ingest_dead_letters(spark):
     rows = spark.createDataFrame([('{"mmsi":"12 3","lat":"91"}',), ("not json",), (None,), ('{"callsign":"X","altitude":3}',)], "payload string")
     ok, bad = ingest.ingest(rows)

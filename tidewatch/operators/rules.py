@@ -110,12 +110,21 @@ def trigrams(text: Column) -> Column:
 
 
 def fuzzy_screen(names: DataFrame, listed: DataFrame, min_score: int = 75, share: float = 0.3) -> DataFrame:
-    """Trigram candidates by equi-join, kept with at least share of the query's trigrams, then edit distance."""
-    a = names.select("entity_id", normalise(F.col("name")).alias("n")).where("length(n) >= 4").withColumn("g", trigrams(F.col("n")))
+    """Trigram candidates by equi-join, kept with at least share of the query's trigrams, then edit distance.
+
+    Names under 4 characters, of which there are few different ones, are compared with the whole list.
+    """
+    every = names.select("entity_id", normalise(F.col("name")).alias("n"))
+    a = every.where("length(n) >= 4").withColumn("g", trigrams(F.col("n")))
     b = listed.select("list_id", normalise(F.col("list_name")).alias("m")).where("length(m) >= 3").withColumn("h", trigrams(F.col("m")))
     hits = a.select("entity_id", "n", F.size("g").alias("q"), F.explode("g").alias("t")).join(b.select("list_id", "m", F.explode("h").alias("t")), "t").groupBy("entity_id", "n", "list_id", "m", "q").agg(F.count("*").alias("c")).where(F.col("c") >= F.ceil(F.col("q") * share))
     score = F.round((1 - F.levenshtein("n", "m") / F.greatest(F.octet_length("n"), F.octet_length("m"))) * 100).cast("int")
-    return hits.select("entity_id", "list_id", score.alias("score")).where(F.col("score") >= min_score).withColumn("risk", F.when(F.col("score") == 100, "confirmed").when(F.col("score") >= 90, "probable").otherwise("possible"))
+    short = every.where("length(n) between 1 and 3")
+    # a longer name on the list than this scores less than min_score whatever its letters
+    scanned = F.broadcast(short.select("n").distinct()).join(b.select("list_id", "m"), F.round(F.length("n") / F.greatest(F.length("n"), F.length("m")) * 100) >= min_score)
+    scanned = scanned.where(score >= min_score).join(short, "n")
+    both = hits.select("entity_id", "list_id", "n", "m").unionByName(scanned.select("entity_id", "list_id", "n", "m"))
+    return both.select("entity_id", "list_id", score.alias("score")).where(F.col("score") >= min_score).withColumn("risk", F.when(F.col("score") == 100, "confirmed").when(F.col("score") >= 90, "probable").otherwise("possible"))
 
 
 def match_names(left: DataFrame, right: DataFrame, min_jaccard: float = 0.8) -> DataFrame:
