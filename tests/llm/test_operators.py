@@ -228,6 +228,18 @@ def test_html(spark):
     assert [got[i]["text"] for i in (7, 8, 9, 10)] == ["", "", "just words & more", "open markup"]
 
 
+def test_whole_articles():
+    long = "<p>Readable text of the article that goes on for quite a while.</p>"
+    page = "<body><article><h1>Headline</h1><p>The lead of the article in a sentence.</p><div class=body>" + long * 6 + "</div></article></body>"
+    for text in (page, page.replace("article>", "div>")):
+        got = html_text.main_text(text, [p for p, _ in html_text.best_paths(html_text.page_blocks(text))][:1]).split("\n")
+        assert got[:2] == ["Headline", "The lead of the article in a sentence."] and len(got) == 8
+    wrapped = "<body><div class='content-sidebar-wrap'><div class=post>" + long + "</div></div></body>"
+    assert html_text.main_text(wrapped, []).startswith("Readable text")
+    two = "<body><div class=teaser><p>A scrap of text that is readable.</p></div><div class=story>" + long * 4 + "</div></body>"
+    assert html_text.main_text(two, ["/div.teaser", "/div.story", "/body/div.teaser", "/body/div.story"]).count("Readable") == 4
+
+
 def test_tokens(spark):
     import public_tokenizers
 

@@ -3,12 +3,15 @@
 1. Each page is cut into blocks, each under its chain of containers.  A container's
    generalised path is its chain of tag and class names with digits replaced, and a
    container scores the readable text of its blocks; half goes to the one above.
-2. Each page votes for its best paths; votes are summed by (host, path) in Spark.
-3. The text is taken again under the host's winning path; a page without that path
-   falls back to its own best one.
+2. Each page votes for all its paths; votes are summed by (host, path) in Spark.
+3. The text is taken again under that of the host's winning paths which scores most on the
+   page; a page without any falls back to its own best one.
+4. From there it climbs to the whole article or main element around it, or else while the
+   container above holds more readable text; lists of links beside it stay out.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments are left out by element name and by class or id words.
+comments are left out by element name and by class or id words.  Where those words leave
+no readable block, as under a wrapper named for its sidebar, they are not heeded.
 
 Defined cases: null or empty html -> empty text; markup without any text -> empty;
 text without markup -> that text; a null url is a host of its own (''), so such
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import small_batches, staged
 
-BROADCAST_ROWS, WINNERS = 20_000, 3
+BROADCAST_ROWS, READABLE = 20_000, 25
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -38,7 +41,7 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sp
 SPACE = re.compile(r"\s+")
 
 
-def _noise(tag: str, attributes: str, in_main: bool) -> tuple[bool, str]:
+def _noise(tag: str, attributes: str, in_main: bool, heed: bool) -> tuple[bool, str]:
     """Whether an element is left out, and its generalised name."""
     if tag in SKIP or (tag == "header" and not in_main):
         return True, tag
@@ -50,14 +53,14 @@ def _noise(tag: str, attributes: str, in_main: bool) -> tuple[bool, str]:
                 return True, tag
             if key == "role" and value.lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar", "form"}:
                 return True, tag
-            if key in {"class", "id"} and tag not in {"html", "body"} and NOISE.search(value):
+            if key in {"class", "id"} and heed and tag not in {"html", "body"} and NOISE.search(value):
                 return True, tag
             if key == "class" and value:
                 name = tag + "." + ".".join(sorted(re.sub(r"\d+", "#", c) for c in value.split()))
     return False, name
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, int]]:
+def blocks(page: str, heed: bool = True) -> Iterator[tuple[str, str, int]]:
     """(container path, text, characters inside links) of every block that is not left out, in page order."""
     path, skip = [("", False)], 0  # (generalised path, left out) of every open container or left-out element
     names, buffer, linked, in_link, main = [""], [], 0, 0, 0
@@ -117,7 +120,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = stop.end() if stop else n
             continue
-        out, name = _noise(tag, m[3], main > 0)
+        out, name = _noise(tag, m[3], main > 0, heed)
         if out or tag in CONTAINER:
             names.append(tag)
             path.append((path[-1][0] + "/" + name, out))
@@ -127,12 +130,26 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
         yield b
 
 
+def readable(block: tuple[str, str, int]) -> bool:
+    return len(block[1]) >= READABLE and 2 * block[2] < len(block[1])
+
+
+def page_blocks(page: str) -> list[tuple[str, str, int]]:
+    """Blocks of a page; class and id words are heeded unless they leave nothing readable."""
+    found = list(blocks(page))
+    if not any(map(readable, found)):
+        every = list(blocks(page, False))
+        if not found or any(map(readable, every)):
+            return every
+    return found
+
+
 def container_scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
     """Readable characters by container path; half of a container's own goes to the one above it."""
     own: dict[str, float] = {}
     for path, text, linked in found:
         weight = len(text) * max(0.0, 1 - 2 * linked / max(1, len(text)))
-        if len(text) < 25:
+        if len(text) < READABLE:
             weight *= 0.2
         share = 1.0
         while True:
@@ -146,23 +163,43 @@ def container_scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
 def best_paths(found: list[tuple[str, str, int]]) -> list[tuple[str, float]]:
     scores = container_scores(found)
     total = sum(len(t) for _, t, _ in found)
-    return sorted(((p, s / total) for p, s in scores.items() if s > 0), key=lambda x: (-x[1], -len(x[0]), x[0]))[:WINNERS] if total else []
-
-
-def under(found: list[tuple[str, str, int]], path: str) -> list[str]:
-    return [t for p, t, _ in found if p == path or p.startswith(path + "/")]
+    return sorted(((p, s / total) for p, s in scores.items() if s > 0), key=lambda x: (-x[1], -len(x[0]), x[0])) if total else []
+
+
+def climb(found: list[tuple[str, str, int]], path: str) -> str:
+    """The article or main around a path, else the highest container reached while the one above holds more readable text.
+
+    The body is reached only for text that stands in it directly.
+    """
+    names = path.split("/")
+    for whole in ("article", "main"):
+        at = [i for i, x in enumerate(names) if x.split(".")[0] == whole]
+        if at:
+            return "/".join(names[: at[-1] + 1])
+    while path:
+        above = path.rpartition("/")[0]
+        page = above.rpartition("/")[2].split(".")[0] in {"", "html", "body"}
+        more = [b for b in found if (b[0] == above or (not page and b[0].startswith(above + "/"))) and not (b[0] == path or b[0].startswith(path + "/"))]
+        if not any(map(readable, more)):
+            break
+        path = above
+    return path
 
 
 def main_text(page: str | None, winners: list[str]) -> str:
-    """Text under the first winning path that holds any, else under the page's own best path."""
+    """Text around that winning path which scores most on the page, else around the page's own best path."""
     if not page:
         return ""
-    found = list(blocks(page))
-    for path in [*winners, *[p for p, _ in best_paths(found)]]:
-        texts = under(found, path)
-        if texts:
-            return "\n".join(texts)
-    return "\n".join(t for _, t, _ in found)
+    found = page_blocks(page)
+    own = dict(best_paths(found))
+    path = max((p for p in winners if p in own), key=lambda p: own[p], default=next(iter(own), None))
+    if path is None:
+        return "\n".join(t for _, t, _ in found)
+    top = climb(found, path)
+    inside = lambda p, c: p == c or p.startswith(c + "/")
+    # what the climb adds: no lists of links, and of the body only its own text
+    body = top.rpartition("/")[2].split(".")[0] in {"", "html", "body"}
+    return "\n".join(b[1] for b in found if inside(b[0], path) or ((b[0] == top if body else inside(b[0], top)) and 2 * b[2] < len(b[1])))
 
 
 _VOTES = pa.list_(pa.struct([("path", pa.string()), ("share", pa.float64())]))
@@ -170,7 +207,7 @@ _VOTES = pa.list_(pa.struct([("path", pa.string()), ("share", pa.float64())]))
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes = [[{"path": p, "share": s} for p, s in best_paths(list(blocks(h)))] if h else [] for h in batch.column("html").to_pylist()]
+        votes = [[{"path": p, "share": s} for p, s in best_paths(page_blocks(h))] if h else [] for h in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(votes, _VOTES)], ["host", "votes"])
 
 
