@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from tidewatch.functions import geo
-from tidewatch.operators import ingest, rules, store
+from tidewatch.operators import ingest, rules, store, tracks
 from tidewatch.plans import queries as Q
 from tidewatch.plans.ql import Engine, QuerySyntaxError, parse
 
@@ -81,6 +81,20 @@ def test_fuzzy_screen_of_short_names(spark):
     assert got == [("a", 1, 75), ("a", 2, 100), ("b", 1, 75), ("b", 2, 100), ("f", 1, 100), ("f", 2, 75)]
 
 
+def test_closest_approach_of_fast_and_wrapping_tracks(spark):
+    rows = [("a", 0.0, 0.0, 480.0, 90.0), ("b", 0.0, 6.0, 480.0, 270.0), ("c", 40.0, 179.9, 5.0, 90.0), ("d", 40.0, -179.9, 5.0, 270.0)]
+    points = spark.createDataFrame(rows, "entity_id string, lat double, lon double, speed double, course double")
+    got = {(r["a"], r["b"]): r for r in tracks.closest_approach(points, 30, 10.0).collect()}
+    assert got["a", "b"]["at_risk"] and got["a", "b"]["tcpa_min"] == 22.5 and got["c", "d"]["at_risk"]
+
+
+def test_registered_audit_chain(spark):
+    assert Q.QUERIES["audit_verify"](spark, SF).count() == 0
+    got = sorted(r[0] for r in Q.QUERIES["audit_verify_forged"](spark, SF).collect())
+    want = duckdb.connect().execute(Q.ORACLE_SQL["audit_verify_forged"].replace("FROM orders", f"FROM '{SF}/orders.parquet'")).fetchall()
+    assert got == sorted(r[0] for r in want) and got
+
+
 def test_screening_of_the_whole_list(spark):
     customers = spark.read.parquet(f"{SF}/customer.parquet").count()
     assert Q.QUERIES["watch_exact_all"](spark, SF).select("list_id").distinct().count() == customers

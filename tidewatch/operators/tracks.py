@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import geo
@@ -79,13 +81,22 @@ def dark_targets(tracks: DataFrame, as_of: Column, min_minutes: int = 30) -> Dat
 def closest_approach(points: DataFrame, horizon_min: int, threshold_nm: float, cell_deg: float = 2.0) -> DataFrame:
     """Closest approach of nearby pairs, both projected every half minute.
 
-    Pairs come from a grid: each point is sent to its own and the neighbouring cells, and
-    an equi-join on the cell replaces the comparison of all pairs.
+    Pairs come from a grid over the unit sphere, so neither poles nor 180 degrees are an edge:
+    each point is sent to its own and the neighbouring cells, and an equi-join on the cell
+    replaces the comparison of all pairs.  A cell is as wide as the threshold and twice the
+    way of the fastest point within the horizon (at least cell_deg), so no pair at risk is lost.
     """
-    p = points.select("entity_id", "lat", "lon", "speed", "course").withColumn("cy", F.floor(F.col("lat") / cell_deg)).withColumn("cx", F.floor(F.col("lon") / cell_deg))
-    near = p.withColumn("dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-    near = near.select((F.col("cy") + F.col("dy")).alias("cy"), (F.col("cx") + F.col("dx")).alias("cx"), *[F.col(c).alias(f"b_{c}") for c in ("entity_id", "lat", "lon", "speed", "course")])
-    pairs = p.join(near, ["cy", "cx"]).where("entity_id < b_entity_id")
+    fastest = points.agg(F.max(F.abs("speed")).alias("v")).first()["v"] or 0.0
+    reach_km = (threshold_nm + 2 * fastest * horizon_min / 60) * geo.KM_PER_NM
+    width = max(math.radians(cell_deg), 1.001 * reach_km / geo.EARTH_KM)
+    la, lo = F.radians("lat"), F.radians("lon")
+    place = {"cx": F.cos(la) * F.cos(lo), "cy": F.cos(la) * F.sin(lo), "cz": F.sin(la)}
+    p = points.select("entity_id", "lat", "lon", "speed", "course", *[F.floor(c / width).alias(k) for k, c in place.items()])
+    near = p
+    for k in place:
+        near = near.withColumn(k, F.explode(F.array(*[F.col(k) + i for i in (-1, 0, 1)])))
+    near = near.select(*place, *[F.col(c).alias(f"b_{c}") for c in ("entity_id", "lat", "lon", "speed", "course")])
+    pairs = p.join(near, list(place)).where("entity_id < b_entity_id")
     t = pairs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(2 * horizon_min)))).withColumn("t", F.col("t") / 2)
     la, lo = geo.project_position(F.col("lat"), F.col("lon"), F.col("speed"), F.col("course"), F.col("t"))
     lb, mb = geo.project_position(F.col("b_lat"), F.col("b_lon"), F.col("b_speed"), F.col("b_course"), F.col("t"))
