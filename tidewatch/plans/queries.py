@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from ..functions import geo
@@ -403,14 +406,36 @@ def _(spark, d):
     return rules.federated_merge(local, remote).select("entity_id", "name")
 
 
+AUDIT_RUN = 4096
+
+
+def _chained(pdf):
+    """One run of orders as a hash chain of its own; the place before a run stays free, so its first row has no predecessor."""
+    pdf = pdf.sort_values("o_orderkey")
+    before, out = "", []
+    for place, (key, op) in enumerate(zip(pdf["o_orderkey"], pdf["op"])):
+        seq = int(pdf["run"].iloc[0]) * (AUDIT_RUN + 1) + 1 + place
+        h = hashlib.sha256(f"{before}|{seq}|{op}".encode()).hexdigest()
+        out.append((key, seq, op, before, h))
+        before = h
+    return pd.DataFrame(out, columns=["o_orderkey", "seq", "op", "previous_hash", "content_hash"])
+
+
+def _audit_log(spark, d):
+    o = model.read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("op"), F.floor(F.col("o_orderkey") / AUDIT_RUN).alias("run"))
+    return o.groupBy("run").applyInPandas(_chained, "o_orderkey long, seq long, op string, previous_hash string, content_hash string")
+
+
 @register("audit_verify", "SELECT o_orderkey + 1 AS seq FROM orders WHERE o_orderkey % 1000 = 3 AND false")
 def _(spark, d):
-    # a chain of rows whose link is the hash of the sequence before it
-    o = model.read(spark, d, "orders").select((F.col("o_orderkey") - F.lit(0)).alias("seq"), F.col("o_orderstatus").alias("op"))
-    log = o.withColumn("previous_hash", F.lit(""))
-    log = log.withColumn("content_hash", rules.chain_hash(["previous_hash", "seq", "op"]))
-    first = log.where(F.col("seq") % 2 == 0)
-    return rules.verify_chain(first, ["seq", "op"])
+    return rules.verify_chain(_audit_log(spark, d), ["seq", "op"])
+
+
+@register("audit_verify_forged", "SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 = 3")
+def _(spark, d):
+    log = _audit_log(spark, d)
+    forged = log.withColumn("op", F.when(F.col("o_orderkey") % 1000 == 3, F.lit("forged")).otherwise(F.col("op")))
+    return rules.verify_chain(forged, ["seq", "op"]).join(log.select("seq", "o_orderkey"), "seq").select("o_orderkey")
 
 
 @register("policy_filter", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2)")
