@@ -65,6 +65,57 @@ def test_near_duplicates(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_deduplicate_by_row(spark):
+    """Rows that share a doc_id but not a text are documents of their own; one row of each component stays."""
+    r = random.Random(31)
+    w, u, v = (" ".join(words(40, r)) for _ in range(3))
+    near = " ".join(["other", *w.split()[1:]])
+    rows = [(3, w, "a"), (5, w, "b"), (5, u, "c"), (6, w.upper(), "d"), (7, v, "e"), (7, v, "e"), (None, w, "f"), (8, None, "g"), (8, "", "h"), (2, near, "i"), (9, "one two", None), (9, "One two", None)]
+    got = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, _id string")).collect()
+    left = sorted(((x["doc_id"], (x["text"] or "").lower()) for x in got), key=str)
+    assert left == sorted([(2, near), (5, u), (7, v), (None, w), (8, ""), (8, ""), (9, "one two")], key=str)
+
+
+def test_unlike_family(spark):
+    """A family whose members agree on about the limit is resolved exactly, with all its edges in one centre's parts."""
+    r = random.Random(77)
+    base = words(80, r)
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for at in r.sample(range(0, 80, 5), r.choice([1, 2, 3])):
+            t[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    sets = {i: shingles(t) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            p, q = sorted((root(a), root(b)))
+            up[q] = p
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in sets} and 1 < len(set(got.values())) < 160
+
+
+def test_heaviest_forest():
+    import numpy as np
+
+    m = np.array([[0, 200, 0, 170], [200, 0, 180, 0], [0, 180, 0, 0], [170, 0, 0, 0]], float)
+    assert sorted(tuple(sorted(x[:2])) for x in minhash.spanning(m, 164)) == [(0, 1), (0, 3), (1, 2)]
+    assert [x[:2] for x in minhash.spanning(m, 190)] == [(0, 1)]
+
+
+def test_components_beyond_broadcast(spark):
+    pairs = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 540)] + [(399, 540)]
+    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(pairs, "a long, b long"), light_rows=0).collect()}
+    assert set(got.values()) == {0} and len(got) == 441
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
@@ -89,10 +140,15 @@ def test_vectors(spark):
     base = g.standard_normal((8, 16))
     rows = [(i, [float(x) for x in base[i % 8] + g.standard_normal(16) * 0.08], i % 2) for i in range(400)]
     rows += [(1000, rows[0][1], 0), (1001, rows[0][1], None), (1002, None, 0), (1003, [0.0] * 16, 0), (1004, [float("nan")] * 16, 0), (1005, [1.0, None], 0), (1006, [], 0)]
+    rows += [(1010 + k, [x * scale for x in rows[1][1]], 1) for k, scale in enumerate((1e-200, 1e200, 1e-310))] + [(1020, [1e-320] * 3, 5), (1021, [2.0] * 3, 5), (1021, [2.0] * 3, 5)]
     got = {r["vec_id"]: r for r in lsh_vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     links = {i: set() for i, *_ in rows}
     ok = [r for r in rows if r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+    copies = {i: sum(r[0] == i for r in rows) for i, *_ in rows}
     for (a, x, p), (b, y, q) in itertools.combinations(ok, 2):
+        if len(x) != len(y):
+            continue
+        x, y = np.array(x) / np.abs(x).max(), np.array(y) / np.abs(y).max()
         if p == q and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98:
             links[a].add(b)
             links[b].add(a)
@@ -102,7 +158,9 @@ def test_vectors(spark):
             new = links[todo.pop()] - reach
             reach |= new
             todo += new
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links[i]), min(reach), min(reach) == i)
+        n = sum(copies[x] for x in links[i] - {i}) + copies[i] - 1
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n, min(reach), min(reach) == i)
+    assert lsh_vectors.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, key string")).count() == 0
 
 
 def test_vectors_of_a_crowded_bucket(spark, monkeypatch):
@@ -115,7 +173,7 @@ def test_vectors_of_a_crowded_bucket(spark, monkeypatch):
 
     def one_bucket(batches):
         for b in deal(batches):
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([[7]] * b.num_rows, pa.list_(pa.int64())), b.column("sketch")], ["key", "buckets", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([[7]] * b.num_rows, pa.list_(pa.int64())), b.column("sketch")], ["node", "buckets", "sketch"])
 
     monkeypatch.setattr(lsh_vectors, "_deal", one_bucket)
     monkeypatch.setattr(lsh_vectors, "SKETCH_BLOCK", 200)

@@ -1,4 +1,4 @@
-"""Shared plumbing: table access, staged tables on the shared folder, worker-side caches."""
+"""Shared plumbing: table access, staged tables on the shared folder, bounds on Arrow batches, worker-side caches."""
 
 from __future__ import annotations
 
@@ -15,12 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -38,19 +40,26 @@ def staged(df: DataFrame, label: str = "t") -> DataFrame:
     return back
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Remove a staged table that nothing reads any more."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_staged_path", None)
+        if path:
+            spark = df.sparkSession
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts stays small in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def byte_bound(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of an Arrow batch, so that a batch of long texts stays small in a Python worker.
+
+    Only the size of batches changes, never a result, and only where the session allows more.  The
+    setting is read when a job runs, after the operator has returned, so it stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bytes_now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < bytes_now <= most:
+        spark.conf.set(key, str(most))
 
 
 def crc_mod(col, n: int):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
-from .common import small_batches
+from .common import byte_bound
 
 WINDOW, SLICE_BYTES, BITS = 10, 64 << 20, 20
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", slice_bytes:
     docs must not itself have columns of these names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    byte_bound(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = 1 + int(total) // slice_bytes

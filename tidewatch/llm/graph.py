@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import drop_staged, staged
 
+#: a table of two longs a row is broadcast up to so many rows (16 MB)
+LIGHT_ROWS = 1_000_000
+
 
 def _smaller_first(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -17,22 +20,33 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _with_least(rows: DataFrame, light: bool) -> DataFrame:
+    """rows(a, b) with m, the least b of each a; no task gets all rows of an a with very many."""
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies"))
+    if light:
+        return rows.join(F.broadcast(least.drop("copies")), "a")
+    least = staged(least, "least")
+    return join_classes(rows, least, key="a")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, light_rows: int = LIGHT_ROWS) -> DataFrame:
     """edges(a, b) -> (node, label): label is the smallest node reachable; nodes without an edge are absent.
 
     Alternating large-star and small-star steps; every step is a partial minimum per
-    node plus an equi-join, so a node with very many neighbours is combined map-side
-    and its join partition can be split.  Each round is written to the shared folder.
+    node and a join with it, where the minima are broadcast if they are few, or else those of
+    the nodes with the most neighbours.  Each round is written to the shared folder.
     """
     now = staged(_smaller_first(edges), "edges")
     for _ in range(max_rounds):
         if _settled(now):
             break
+        light = now.count() <= light_rows // 2
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        near = _with_least(both if light else staged(both, "both"), light)
+        large = near.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        large = large if light else staged(large, "large")
+        low = _with_least(large, light)
+        small = low.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = staged(small.where("a <> b").distinct(), "edges")
         drop_staged(now)
         now = after
@@ -61,7 +75,7 @@ def cells(rows: DataFrame, group: str, key: str, block: int = 128, least: int =
     return out.repartition(F.col(group), F.col("cell_i"), F.col("cell_j"))
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, fraction: int = 1000) -> DataFrame:
+def join_classes(rows: DataFrame, classes: DataFrame, fraction: int = 1000, key: str = "key") -> DataFrame:
     """rows(key, ...) with the columns of classes(key, copies, ...), where `copies` counts the rows of each key.
 
     Classes of more than 1/fraction of the rows, which are fewer than `fraction` by that
@@ -70,4 +84,4 @@ def join_classes(rows: DataFrame, classes: DataFrame, fraction: int = 1000) -> D
     """
     hot = F.col("copies") > F.lit(rows.count() // fraction)
     large, small = F.broadcast(classes.where(hot).drop("copies")), classes.where(~hot).drop("copies")
-    return rows.join(large, "key").unionByName(rows.join(large.select("key"), "key", "left_anti").join(small, "key"))
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(small, key))

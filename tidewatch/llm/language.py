@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from . import textcore as tc
-from .common import crc_mod, small_batches
+from .common import crc_mod, byte_bound
 
 DIM_BITS, FIT_ROWS, CENTROIDS, LANG_ROWS = 12, 4000, 4, 1000
 
@@ -134,7 +134,7 @@ def _lowest(sent):
 
 def fit(docs: DataFrame, allowed, fit_rows: int = FIT_ROWS) -> dict:
     """Model from text and non-null lang of the rows for which the column `allowed` holds."""
-    small_batches(docs.sparkSession)
+    byte_bound(docs.sparkSession)
     usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     texts = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     turn = F.xxhash64("doc_id")
@@ -196,7 +196,7 @@ def _assign(sent):
 
 def predict(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     """key column, lang_pred, score, rejected for every row of docs(key, text)."""
-    small_batches(docs.sparkSession)
+    byte_bound(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(key, F.col("text").cast("string").alias("text"))
     kind = rows.schema[key].dataType.simpleString()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
-from .common import small_batches
+from .common import byte_bound
 
 GRAM, WINNOW, BAND, MIN_COVERAGE = 3, 4, 12, 0.75
 
@@ -176,7 +176,7 @@ def _scan(templates: dict[str, str]):
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per license found: doc_id, license, n_matched, coverage, start and end (code points), span_text."""
-    small_batches(docs.sparkSession)
+    byte_bound(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan(templates or TEMPLATES), "doc_id long, license string, n_matched long, coverage double, start long, end long, span_text string")
 

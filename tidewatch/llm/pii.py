@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, staged
+from .common import byte_bound, staged
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SUPPORT, MIN_SCORE, MIN_DIGITS = 3, 8, 0.8, 5
@@ -131,7 +131,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: base spans, occurrences, and a row number that joins the two later."""
-    small_batches(docs.sparkSession)
+    byte_bound(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return staged(rows.mapInArrow(_find, FOUND).withColumn("row", F.monotonically_increasing_id()), "pii")
 

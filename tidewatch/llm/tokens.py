@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, worker_cache
+from .common import byte_bound, worker_cache
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 HUGE, CHUNK, OVERLAP = 1 << 16, 1 << 15, 1 << 9
@@ -180,7 +180,7 @@ def _count(sent):
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.  vocabulary: path of a tokenizer's JSON file, read on the driver."""
-    small_batches(docs.sparkSession)
+    byte_bound(docs.sparkSession)
     if vocabulary is None:
         import public_tokenizers
 

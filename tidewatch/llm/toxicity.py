@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
-from .common import crc_mod, small_batches
+from .common import crc_mod, byte_bound
 
 DIM_BITS, FIT_ROWS, EPOCHS, THRESHOLD = 18, 12000, 5, 0.7
 ALPHA, BETA, L2 = 3.0, 1.0, 0.02
@@ -77,7 +77,7 @@ class Ftrl:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, fit_rows: int = FIT_ROWS) -> np.ndarray:
     """Weights (the last is the intercept) from labelled rows for which the column `allowed` holds."""
-    small_batches(docs.sparkSession)
+    byte_bound(docs.sparkSession)
     usable = labels.where(allowed & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -111,7 +111,7 @@ def _score(sent):
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id and score for every row of docs."""
-    small_batches(docs.sparkSession)
+    byte_bound(docs.sparkSession)
     index = np.flatnonzero(weights[:-1])
     sent = docs.sparkSession.sparkContext.broadcast((index, weights[index], weights[-1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
