@@ -269,9 +269,13 @@ def test_decontamination(spark):
                         found.add(item)
         x = got[i]
         assert (x["n_words"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) == (len(own), len(hit), len(found), decontaminate.text_digest(list(found)), bool(hit))
-    sliced = decontaminate.scan(d, b, slice_bytes=300).select("doc_id", "hit", "items").collect()
-    whole = decontaminate.scan(d, b).select("doc_id", "hit", "items").collect()
-    assert sorted(map(str, sliced)) == sorted(map(str, whole))
+    other_way = decontaminate.report(d.withColumn("n_words", F.lit("x")).withColumn("items", F.lit(1)), b, hash_bytes=64).collect()  # beyond the bound: a bitmap
+    assert sorted(map(str, other_way)) == sorted(map(str, got.values()))
+    none = decontaminate.report(d, b.limit(0)).collect()
+    assert len(none) == len(rows) and not any(x["contaminated"] for x in none) and decontaminate.report(d.limit(0), b).count() == 0
+    twice = d.union(d).withColumn("hit", F.lit(5)).withColumn("digest", F.lit("y"))
+    left = decontaminate.decontaminate(twice, b)
+    assert left.columns == twice.columns and left.count() == 2 * sum(not x["contaminated"] for x in got.values())
     assert decontaminate.decontaminate(d, b).count() == sum(not x["contaminated"] for x in got.values())
     assert not any(x["contaminated"] for x in decontaminate.report(decontaminate.decontaminate(d, b, "spans"), b).collect())
 

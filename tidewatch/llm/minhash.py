@@ -38,7 +38,7 @@ from .graph import cells, components, join_classes
 SHINGLE, PERMUTATIONS, BANDS, ROWS, THRESHOLD = 5, 120, 48, 5, 75
 #: Of the two-bit values of a pair at 0.75, 195 agree on average; fewer than this do with five standard deviations.
 SKETCH_AGREE = 164
-BUCKET_BLOCK, SUB, PART = 1024, 8, 128
+BUCKET_BLOCK, FAMILY_BLOCK, SUB, PART = 1024, 256, 2, 128
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -224,11 +224,11 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each cell, the classes with a likely partner of another component, by the sub-cells of at most 2 x PART in which they meet."""
+    """Of each cell, the classes with a likely partner of another component, by the sub-cells of about 2 x PART in which they meet."""
     for cuts, part in by_cell(batches, ("family", "cell_i", "cell_j")):
         columns = {c: part.column(c).to_numpy() for c in ("family", "cell_i", "cell_j", "own", "node", "label")}
         sketch = _sketches(part)
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for s, e in zip(cuts[:-1], cuts[1:]):
             if e - s < 2:
                 continue
@@ -243,13 +243,16 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             sub = own.astype(np.int64) * SUB + (tc.mix(node.view(np.uint64)) % np.uint64(SUB)).astype(np.int64)
             rows = np.unique(np.stack([np.minimum(sub[p], sub[q]), np.maximum(sub[p], sub[q]), p], 1), axis=0)
-            for column, value in zip(out, (np.full(len(rows), columns["family"][s]), rows[:, 0], rows[:, 1], node[rows[:, 2]], label[rows[:, 2]])):
+            for column, value in zip(out, (np.full(len(rows), columns["family"][s]), rows[:, 0], rows[:, 1], node[rows[:, 2]], label[rows[:, 2]], rows[:, 2] + s)):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64) if c else [], pa.int64()) for c in out], ["family", "sub_i", "sub_j", "node", "label"])
+        flat = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in flat[:5]), part.column("sketch").combine_chunks().take(pa.array(flat[5]))], ["family", "sub_i", "sub_j", "node", "label", "sketch"])
 
 
-def links_between(node: np.ndarray, label: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
+def links_between(node: np.ndarray, label: np.ndarray, sketches: list[bytes], sets: list[bytes]) -> list[tuple[int, int]]:
     """Spanning links of the confirmed pairs of different components in a cell."""
+    x = _signs(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(node), -1))
+    near = np.triu((x @ x.T >= SKETCH_AGREE) & (label[:, None] != label[None, :]))
     parts = [np.frombuffer(s, np.uint64) for s in sets]
     up = {x: x for x in label.tolist()}
 
@@ -260,17 +263,16 @@ def links_between(node: np.ndarray, label: np.ndarray, sets: list[bytes]) -> lis
         return x
 
     links = []
-    for i in range(len(node)):
-        for j in range(i + 1, len(node)):
-            p, q = root(int(label[i])), root(int(label[j]))
-            if p != q and alike(parts[i], parts[j]):
-                up[q] = p
-                links.append((int(node[i]), int(node[j])))
+    for i, j in zip(*np.nonzero(near)):
+        p, q = root(int(label[i])), root(int(label[j]))
+        if p != q and alike(parts[i], parts[j]):
+            up[q] = p
+            links.append((int(node[i]), int(node[j])))
     return links
 
 
 def _confirm_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(links_between(pdf["node"].to_numpy(), pdf["label"].to_numpy(), list(pdf["set"])), columns=["a", "b"], dtype="int64")
+    return pd.DataFrame(links_between(pdf["node"].to_numpy(), pdf["label"].to_numpy(), list(pdf["sketch"]), list(pdf["set"])), columns=["a", "b"], dtype="int64")
 
 
 def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -314,9 +316,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     labels = staged(components(links), "labels")
     members = families.join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label"))
     unlike = members.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("family")
-    again = cells(members.join(unlike, "family").join(sketches, "node"), "family", "node", BUCKET_BLOCK)
+    again = cells(members.join(unlike, "family").join(sketches, "node"), "family", "node", FAMILY_BLOCK)
     again = again.sortWithinPartitions("family", "cell_i", "cell_j").select("family", "cell_i", "cell_j", "own", "node", "label", "sketch")
-    likely = again.mapInArrow(_likely, "family long, sub_i long, sub_j long, node long, label long").join(sets, "node")
+    likely = again.mapInArrow(_likely, "family long, sub_i long, sub_j long, node long, label long, sketch binary").join(sets, "node")
     more = staged(likely.repartition("family", "sub_i", "sub_j").groupBy("family", "sub_i", "sub_j").applyInPandas(_confirm_cell, "a long, b long"), "more")
     whole = components(links.unionByName(more))
 
