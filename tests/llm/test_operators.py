@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, with nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -372,19 +373,58 @@ def test_tokens(spark):
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 512)
 
 
+def plain_spans(text):
+    """The contract's own patterns, over the whole text."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d)))
+        out += [("card", *m.span())] if 13 <= len(d) <= 19 and total % 10 == 0 else []
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return out
+
+
 def test_pii(spark):
     r = random.Random(6)
     rows = [(i, f"Please reach support at user{i}@mail.example.com now, {' '.join(words(5, r))}") for i in range(30)]
-    rows += [(100, "please reach support at handle-99812 now"), (101, None), (102, ""), (103, "ip 10.0.0.1 bad 300.1.1.1 card 4111 1111 1111 1111 not 4111 1111 1111 1112 tel +1 (017) 555-7713 é a.b@c.de@f.gh"), (None, "x@y.zz"), (104, "order 12345678 shipped")]
+    rows += [(100, "please reach support at handle-99812 now"), (101, None), (102, ""), (103, "ip 10.0.0.1 bad 300.1.1.1 card 4111 1111 1111 1111 not 4111 1111 1111 1112 tel +1 (017) 555-7713 é a.b@c.de@f.gh"), (None, "x@y.zz"), (104, "order 12345678 shipped"), (None, "please reach support at handle-99812 now"), (100, "please reach support at handle-99812 now")]
+    rows += [(200 + i, f"{' '.join(words(4, r))}\ntel: +1 (017) 555-77{i:02d} {' '.join(words(3, r))}") for i in range(10)] + [(220, "tel: 0175557713x and more"), (221, 'the access token = "' + "ab12" * 10 + '" here')]
+    rows += [(300, " ".join(words(40_000, r)) + " a@b.cc"), (301, "+" * 70 + "1" * 500 + "@" + "-" * 20 + "1.2.3.4.5.6.7.8")]
     docs = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, spans string")
-    got = {x["doc_id"]: x for x in pii.report(docs).collect()}
-    assert got[100]["spans"] and got[100]["n_discovered"] == 1 and got[104]["spans"] == "" == got[101]["spans"]
-    x = got[103]
-    assert (x["n_email"], x["n_ip"], x["n_card"], x["n_phone"]) == (1, 1, 1, 1)
-    assert x["base_sha256"] == pii.digest(pii.base_spans(rows[33][1]))
-    clean = {x["doc_id"]: x for x in pii.redact(docs).collect()}
-    assert clean[100]["text"] == "please reach support at [EMAIL] now" and "[CARD]" in clean[103]["text"] and "4111 1111 1111 1112" in clean[103]["text"]
+    every = pii.report(docs).collect()
+    got = {x["doc_id"]: x for x in every}
+    assert len(every) == len(rows) and got[100]["n_discovered"] == 1 == got[220]["n_discovered"] and got[104]["spans"] == "" == got[101]["spans"]
+    assert got[220]["spans"] == "phone:5:16" and got[221]["spans"] == "secret:20:60" and got[221]["n_spans"] == 1
+    for i, t in rows:
+        if i is not None:
+            kinds = ["email", "ip", "card", "phone"]
+            want = sorted(plain_spans(t or ""), key=lambda x: (kinds.index(x[0]), x[1]))
+            assert [got[i]["n_" + k] for k in kinds] == [sum(x[0] == k for x in want) for k in kinds]
+            assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
+    clean = pii.redact(docs).collect()
     assert pii.redact(docs).columns == docs.columns and len(clean) == len(rows)
+    assert [x["text"] for x in clean if x["doc_id"] in (100, None) and "reach" in x["text"]] == ["please reach support at [EMAIL] now"] * 3
+    card = next(x["text"] for x in clean if x["doc_id"] == 103)
+    assert "[CARD]" in card and "4111 1111 1111 1112" in card
+    assert pii.report(docs.limit(0)).count() == 0 == pii.redact(docs.limit(0)).count()
+
+
+def test_pii_over_documents(spark):
+    """Base spans of a whole table by the plain patterns of the contract."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {x["doc_id"]: x["base_sha256"] for x in pii.report(docs).collect()}
+    kinds = ["email", "ip", "card", "phone"]
+    for x in docs.collect():
+        want = sorted(plain_spans(x["text"] or ""), key=lambda y: (kinds.index(y[0]), y[1]))
+        assert got[x["doc_id"]] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
+
+
+def test_left_classes(spark):
+    rows = spark.createDataFrame([(i, bytes([i % 3])) for i in range(30)], "id int, digest binary")
+    more = spark.createDataFrame([(bytes([1]), 10, [4, 5])], "digest binary, copies long, more array<int>")
+    small, large = (sorted((x["id"], x["more"]) for x in graph.left_classes(rows, more, "more", light_values=n).collect()) for n in (100, 0))
+    assert small == large == [(i, [4, 5] if i % 3 == 1 else None) for i in range(30)]
 
 
 def test_language(spark):

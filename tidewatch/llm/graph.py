@@ -85,3 +85,17 @@ def join_classes(rows: DataFrame, classes: DataFrame, fraction: int = 1000, key:
     hot = F.col("copies") > F.lit(rows.count() // fraction)
     large, small = F.broadcast(classes.where(hot).drop("copies")), classes.where(~hot).drop("copies")
     return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(small, key))
+
+
+def left_classes(rows: DataFrame, classes: DataFrame, values: str, key: str = "digest", light_values: int = LIGHT_ROWS) -> DataFrame:
+    """rows with the array column `values` of classes(key, copies, values), null where there is none.
+
+    classes, a staged table, is broadcast if all its arrays hold light_values elements at most;
+    beyond that only its hot keys are, and rows, which should be staged too, is read three times.
+    """
+    held = classes.agg(F.coalesce(F.sum(F.size(values) + 1), F.lit(0)).alias("n")).first()["n"]
+    if held <= light_values:
+        return rows.join(F.broadcast(classes.select(key, values)), key, "left")
+    own = classes.select(key)
+    without = rows.join(own, key, "left_anti").withColumn(values, F.lit(None).cast(classes.schema[values].dataType))
+    return without.unionByName(join_classes(rows.join(own, key, "left_semi"), classes.select(key, "copies", values), key=key))

@@ -1,17 +1,23 @@
 """Personal data (op9): base patterns plus bootstrapped contextual extraction.
 
 Base patterns find emails, IPv4 addresses, payment cards and phone numbers in whole
-texts.  They seed the bootstrap: an occurrence is an identifier-like token (a run of
-identifier characters with at least MIN_DIGITS digits, or a base match), and its
-lexical patterns are the two words before it and the words around it.  On the graph
-of patterns and instances Spark alternates
+texts; assignments to names that ask for a secret, and keys of published forms, are seeds of the
+kind `secret`.  All of them seed the bootstrap: an occurrence is an identifier-like token (a run of
+identifier characters with at least MIN_DIGITS digits, or a seed), and its lexical patterns are
+  the token before it; with the one before that; at the start of a line; with the sign between
+  (a colon, an equals sign, a number sign); the tokens on both sides; and its own prefix of
+  letters.  Tokens are whole words, however long, with digits masked, or single signs.
+On the graph of patterns and instances Spark alternates
   pattern score  = mean confidence over the pattern's distinct instances, per kind,
   instance score = 1 - product of (1 - score) over its trusted patterns,
 for ROUNDS rounds; seeds keep confidence 1 for their own kind.  A pattern is trusted
 with MIN_SUPPORT distinct confident instances and a score of MIN_SCORE.  Occurrences
-of trusted patterns that no base pattern matched are added as spans of the pattern's
+of trusted patterns that no seed matched are added as spans of the pattern's
 kind; base spans always stay.
 
+Spans are held by text (a 128-bit digest), so copies are resolved once and rows without a
+doc_id are treated like others.
+
 Defined cases: null or empty text has no spans (the digest of the empty string); a
 null doc_id stays null and its text still counts; repeated rows are reported each
 but their instances count once.
@@ -27,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import byte_bound, staged
+from .graph import left_classes
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = 4
 ROUNDS, MIN_SUPPORT, MIN_SCORE, MIN_DIGITS = 3, 8, 0.8, 5
-BROADCAST_ROWS = 50_000
+LIGHT_PATTERNS = 100_000
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
@@ -39,7 +47,9 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[A-Za-z0-9@._%+#/-]+")
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"\w")
+SECRET = re.compile(r"(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?([A-Za-z0-9_+/=.-]{12,})|\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})\b", re.I)
+PREFIX = re.compile(r"[a-z]{2,}[-_#/]?")
 
 
 def luhn(digits: str) -> bool:
@@ -77,23 +87,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """Seeds of the kind `secret`: values with a digit that a name or their form gives away."""
+    out = []
+    for m in SECRET.finditer(text):
+        g = 1 if m[1] else 2
+        if DIGIT.search(m[g]):
+            out.append((BASE, *m.span(g)))
+    return out
+
+
+def seeds(text: str) -> list[tuple[int, int, int]]:
+    """Base spans and secrets apart from them, by kind and start."""
+    base = base_spans(text)
+    return base + [x for x in secret_spans(text) if not any(s < x[2] and x[1] < e for _, s, e in base)]
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
+def _token_before(text: str, at: int) -> tuple[str, int]:
+    """The word or sign before a place, digits masked, and its start; a line break is a token."""
+    while at and text[at - 1] in " \t\"'(":
+        at -= 1
+    if not at:
+        return "^", 0
+    e = at
+    if not WORD.match(text[at - 1]):
+        return "^" if text[at - 1] in "\r\n" else text[at - 1], at - 1
+    while at and WORD.match(text[at - 1]):
+        at -= 1
+    return DIGIT.sub("#", text[at:e].lower()), at
+
+
+def _token_after(text: str, at: int) -> str:
+    n = len(text)
+    while at < n and text[at] in " \t\"')":
+        at += 1
+    if at == n or text[at] in "\r\n":
+        return "$"
+    s = at
+    while at < n and WORD.match(text[at]):
+        at += 1
+    return DIGIT.sub("#", text[s:at].lower()) if at > s else text[s]
+
+
 def _patterns(text: str, s: int, e: int) -> list[str]:
-    before = [w.lower() for w in WORD.findall(text, max(0, s - 60), s)][-2:]
-    after = [w.lower() for w in WORD.findall(text, e, e + 40)][:1]
+    one, at = _token_before(text, s)
+    two, before = _token_before(text, at) if one != "^" else ("", 0)
+    after = _token_after(text, e)
     out = []
-    if len(before) == 2:
-        out.append("< " + " ".join(before))
-    if before and after:
-        out.append(f"<> {before[-1]} _ {after[0]}")
+    if one != "^":
+        out += [f"< {one}", f"< {two} {one}", f"<> {one} _ {after}"]
+        if one in ":=#" and two != "^":
+            third = _token_before(text, before)[0]
+            out.append(f"< {third} {two} {one}")
+    prefix = PREFIX.match(text[s:e].lower())
+    if prefix and s + prefix.end() < e:
+        out.append("p " + prefix[0])
     return out
 
 
 def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
-    """(kind or None, start, end, instance, patterns) of base matches and other identifier-like tokens."""
+    """(kind or None, start, end, instance, patterns) of seeds and other identifier-like tokens."""
     out = [(k, s, e, text[s:e].lower(), _patterns(text, s, e)) for k, s, e in spans]
     if DIGIT.search(text):
         taken = sorted((s, e) for _, s, e in spans)
@@ -109,31 +166,42 @@ def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
                 continue
             while i < len(taken) and taken[i][1] <= s:
                 i += 1
-            if not any(p < e and s < q for p, q in taken[i : i + 8]):
+            if not (i < len(taken) and taken[i][0] < e):
                 out.append((None, s, e, text[s:e].lower(), _patterns(text, s, e)))
     return out
 
 
 _OCC = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
 _SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-FOUND = "doc_id long, spans array<struct<kind:int,start:long,end:long>>, occ array<struct<kind:int,start:long,end:long,instance:string,patterns:array<string>>>"
+FOUND = "doc_id long, digest binary, spans array<struct<kind:int,start:long,end:long>>, occ array<struct<kind:int,start:long,end:long,instance:string,patterns:array<string>>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, occ = [], []
-        for text in batch.column("text").to_pylist():
-            base = base_spans(text) if text else []
-            spans.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(base)])
-            occ.append([{"kind": k, "start": s, "end": e, "instance": v, "patterns": p} for k, s, e, v, p in occurrences(text, base)] if text else [])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, _SPANS), pa.array(occ, _OCC)], ["doc_id", "spans", "occ"])
+        for text in batch.column("text"):
+            text = text.as_py()
+            own = seeds(text) if text else []
+            spans.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(own)])
+            occ.append([{"kind": k, "start": s, "end": e, "instance": v, "patterns": p} for k, s, e, v, p in occurrences(text, own)] if text else [])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(spans, _SPANS), pa.array(occ, _OCC)], ["doc_id", "digest", "spans", "occ"])
+
+
+def _digest(text):
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: base spans, occurrences, and a row number that joins the two later."""
+    """One row per document: digest of the text, seed spans and occurrences."""
     byte_bound(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return staged(rows.mapInArrow(_find, FOUND).withColumn("row", F.monotonically_increasing_id()), "pii")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _digest(text).alias("digest"))
+    return staged(rows.mapInArrow(_find, FOUND), "pii")
+
+
+def _light(rows: DataFrame) -> DataFrame:
+    """Broadcast only where the table is proven small; it is joined beyond."""
+    return F.broadcast(rows) if rows.count() <= LIGHT_PATTERNS else rows
 
 
 def trusted_patterns(occ: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE) -> DataFrame:
@@ -147,7 +215,7 @@ def trusted_patterns(occ: DataFrame, rounds: int = ROUNDS, min_support: int = MI
         best = scored.groupBy("pattern").agg(F.max(F.struct(F.col("mass") / F.col("n"), -F.col("kind"), "support")).alias("x"))
         best = best.select("pattern", (-F.col("x")["col2"]).alias("kind"), F.col("x")["col1"].alias("score"), F.col("x.support").alias("support"))
         trusted = staged(best.where((F.col("support") >= min_support) & (F.col("score") >= min_score)).select("pattern", "kind", "score"), "trusted")
-        held = graph.where("seed is null").join(trusted, "pattern")
+        held = graph.where("seed is null").join(_light(trusted), "pattern")
         # noisy-or over an instance's trusted patterns, as a sum of logarithms
         likely = held.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6)))))).alias("conf"))
         more = graph.where("seed is null").join(likely, "instance").select("pattern", "instance", "kind", "conf")
@@ -156,29 +224,26 @@ def trusted_patterns(occ: DataFrame, rounds: int = ROUNDS, min_support: int = MI
 
 
 def discovered(found: DataFrame) -> DataFrame:
-    """(row, doc_id, kind, start, end, instance) of occurrences only the bootstrap finds."""
-    occ = found.select("row", "doc_id", F.explode("occ").alias("o")).select("row", "doc_id", "o.*")
-    flat = occ.select("row", "doc_id", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-    trusted = trusted_patterns(flat.select("kind", "instance", "pattern"))
-    new = flat.where("kind is null").drop("kind").join(trusted, "pattern")
-    return new.groupBy("row", "doc_id", "start", "end", "instance").agg(F.max(F.struct("score", -F.col("kind"))).alias("x")).select("row", "doc_id", (-F.col("x")["col2"]).alias("kind"), "start", "end", "instance")
+    """(digest, copies, more) for the texts with occurrences that only the bootstrap finds; staged."""
+    texts = found.where(F.size("occ") > 0).groupBy("digest").agg(F.first("occ").alias("occ"), F.count("*").alias("copies"))
+    occ = staged(texts.select("digest", "copies", F.explode("occ").alias("o")).select("digest", "copies", "o.*").withColumn("pattern", F.explode("patterns")).drop("patterns"), "occ")
+    trusted = trusted_patterns(occ.select("kind", "instance", "pattern"))
+    new = occ.where("kind is null").drop("kind").join(_light(trusted), "pattern")
+    spans = new.groupBy("digest", "start", "end").agg(F.max("copies").alias("copies"), F.max(F.struct("score", -F.col("kind"))).alias("x")).select("digest", "copies", (-F.col("x")["col2"]).alias("kind"), "start", "end")
+    return staged(spans.groupBy("digest").agg(F.max("copies").alias("copies"), F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more")), "more")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered for every row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered, n_spans for every row of docs."""
     found = find(docs)
-    extra = staged(discovered(found).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more")), "more")
-    rows = found.select("row", "doc_id", "spans").join(_light(extra), "row", "left")
+    rows = left_classes(found.select("doc_id", "digest", "spans"), discovered(found), "more")
     name = lambda x: F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1)
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] < BASE)
     every = F.array_sort(F.concat("spans", F.coalesce("more", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))))
-    return rows.select("doc_id", *[count(k).alias(f"n_{n}") for k, n in enumerate(KINDS)], F.sha2(text(F.col("spans")).cast("binary"), 256).alias("base_sha256"), text(every).alias("spans"), F.coalesce(F.size("more").cast("long"), F.lit(0).cast("long")).alias("n_discovered"))
-
-
-def _light(extra: DataFrame) -> DataFrame:
-    """Broadcast only where the table is proven small; the join shuffles beyond."""
-    return F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
+    n_discovered = F.when(F.col("more").isNull(), F.lit(0)).otherwise(F.size("more")).cast("long")
+    return rows.select("doc_id", *[count(k).alias(f"n_{n}") for k, n in enumerate(KINDS[:BASE])], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(every).alias("spans"), n_discovered.alias("n_discovered"), F.size(every).cast("long").alias("n_spans"))
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +253,7 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = texts[i]
             if not text:
                 continue
-            spans = base_spans(text) + [(x["kind"], x["start"], x["end"]) for x in more or [] if text[x["start"] : x["end"]].lower() == x["instance"]]
+            spans = seeds(text) + [(x["kind"], x["start"], x["end"]) for x in more or []]
             at, out = 0, []
             for s, e, k in sorted((s, e, k) for k, s, e in spans):
                 if e > at:
@@ -201,10 +266,11 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; all rows and columns stay."""
-    extra = discovered(find(docs)).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("kind", "start", "end", "instance")).alias("more"))
-    extra = _light(staged(extra, "more"))
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(extra, "_id", "left").drop("_id")
-    done = boxed.mapInArrow(_redact, boxed.schema)
+    extra = discovered(find(docs))
+    text = F.col("text").cast("string")
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), text.alias("text"), _digest(text).alias("digest"))
+    rows = left_classes(boxed, extra, "more")
+    done = rows.mapInArrow(_redact, rows.schema)
     return done.select(*[F.col("text").alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
