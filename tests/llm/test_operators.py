@@ -343,16 +343,83 @@ def test_html(spark):
     assert [got[i]["text"] for i in (7, 8, 9, 10)] == ["", "", "just words & more", "open markup"]
 
 
+LONG = "Readable text of the article that goes on for quite a while, sentence {}."
+
+
+def alone(page):
+    found = html_text.page_blocks(page)
+    return html_text.main_text(found).split("\n")
+
+
+def paragraphs(n, at=0):
+    return "".join(f"<p>{LONG.format(i)}</p>" for i in range(at, at + n)), [LONG.format(i) for i in range(at, at + n)]
+
+
 def test_whole_articles():
-    long = "<p>Readable text of the article that goes on for quite a while.</p>"
-    page = "<body><article><h1>Headline</h1><p>The lead of the article in a sentence.</p><div class=body>" + long * 6 + "</div></article></body>"
-    for text in (page, page.replace("article>", "div>")):
-        got = html_text.main_text(text, [p for p, _ in html_text.best_paths(html_text.page_blocks(text))][:1]).split("\n")
-        assert got[:2] == ["Headline", "The lead of the article in a sentence."] and len(got) == 8
-    wrapped = "<body><div class='content-sidebar-wrap'><div class=post>" + long + "</div></div></body>"
-    assert html_text.main_text(wrapped, []).startswith("Readable text")
-    two = "<body><div class=teaser><p>A scrap of text that is readable.</p></div><div class=story>" + long * 4 + "</div></body>"
-    assert html_text.main_text(two, ["/div.teaser", "/div.story", "/body/div.teaser", "/body/div.story"]).count("Readable") == 4
+    body, text = paragraphs(6)
+    lead = "The lead of the article, in a sentence."
+    page = f"<body><article><h1>Headline</h1><p>{lead}</p><div class=body>{body}</div></article></body>"
+    assert alone(page) == alone(page.replace("article>", "div>")) == ["Headline", lead, *text]
+    assert alone(f"<body><div class='content-sidebar-wrap'><div class=post>{body}</div></div></body>") == text
+    # a lead in a container of its own, under main, a plain container, and the body itself
+    two = f"<div class=lead><p>{lead}</p><p>And a second sentence of it.</p></div><div class=text>{body}</div>"
+    for around in ("<main>{}</main>", "<div>{}</div>", "{}"):
+        assert alone(f"<body><nav>x</nav>{around.format(two)}<footer>f</footer></body>") == [lead, "And a second sentence of it.", *text]
+    quote, own = paragraphs(9, 20)
+    assert alone(f"<body><div class=post><p>{lead}</p><blockquote>{quote}</blockquote><p>{lead}</p></div></body>") == [lead, *own, lead]
+    cells = [f"value of the cell number {i} here" for i in range(12)]
+    table = "<table>" + "".join(f"<tr><td>{c}<td>{c}" for c in cells) + "</table>"
+    for tag in ("article", "div"):
+        assert alone(f"<body><{tag}><p>{lead}</p>{table}<p>{lead}</p></{tag}></body>") == [lead, *(c for x in cells for c in (x, x)), lead]
+    for start in ("<article class='post comments-open'>", "<div class='content has-sidebar'>", "<div class='side-by-side'>", "<article class='post category-social tag-search'>", "<form id=whole><div><h1>Title</h1>"):
+        got = alone(f"<body>{start}{body}</body>")
+        assert got[-6:] == text and len(got) <= 7
+    assert alone(f"<body><aside>left out<p>this too<article>{body}</article></body>") == text
+    assert alone(f"<html><head><title>t</title><meta charset=x><body><div>{body}</div>") == text
+    assert alone(f'<body><p class="a>First words of the text.</p><p class="b">{LONG}</p></body>')[0] == "First words of the text."
+    assert alone(f"<body><article><p>Press the <label>big</label> key, <button>Buy</button>now, <span class=alert>quickly</span>.</p>{body}</article></body>")[0] == "Press the big key, now, quickly."
+    comments = "<div id=comments><p>A reader comment that is longer than the article and talks on and on and on.</p></div>" * 9
+    assert alone(f"<body><article class='post comments-open'><p>{lead}</p>{comments}</article></body>") == [lead]
+    assert alone(f"<body><main><article><h1>T</h1>{body}</article><section><h2>More</h2><article><p>{lead}</p></article></section></main></body>") == ["T", *text]
+    assert alone(f"<body><h1>T</h1><div class=menu><a href=x>a</a></div><div class=post>{body}</div></body>") == ["T", *text]
+    assert alone(f"<body><div title='a > b <c>' class=post data-x=\"1 < 2\">{body}<!-- <p>no</p> --></div></body>") == text
+
+
+def test_html_of_hosts(spark):
+    """Pages of generated templates, two a host, against the text they were made from."""
+    r = random.Random(52)
+    sentence = lambda: " ".join(words(r.randrange(8, 20), r)).capitalize() + "."
+    noise = ["<nav><a href=/a>Home page of the site</a></nav>", "<div class='cookie-banner'><p>We use cookies to make this site work for you.</p></div>", "<aside><p>An aside that nobody wants to read today.</p></aside>", "<form><label>Your name please, in full</label><input></form>"]
+    box = "<div class=about><p>About this site: made by people who like to write.</p></div>"
+    rows, want = [], {}
+    for i in range(120):
+        host, kind = f"h{i % 4}.example", i % 2 if i % 8 < 4 else 0
+        title, lead, body = sentence(), sentence(), [sentence() for _ in range(r.randrange(3, 9))]
+        quote = sentence()
+        inner = f"<h2>{title}</h2><div class='intro n{i}'><p>{lead}</p></div><div class=text>" + "".join(f"<p>{x}" for x in body) + f"<blockquote><p>{quote}</blockquote></div>"
+        main = f"<div id=wrap><div class=story>{inner}</div>{box}</div>" if kind else f"<main>{inner}</main>"
+        page = f"<html><head><title>x</title></head><body><header>Site of the host</header>{r.choice(noise)}{main}{r.choice(noise)}<footer>f</footer></body></html>"
+        rows.append((i, f"https://{host}/{i}", page, "x"))
+        want[i] = "\n".join([title, lead, *body, quote])
+    rows += [(500, None, "", None), (501, "https://h0.example/z", None, None), rows[0], (502, "https://h0.example/long", "<body><main>" + "".join(f"<p>{x}</p>" for x in ["word " * 9] * 20_000) + "</main>", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = html_text.extract(pages).collect()
+    assert len(got) == len(rows) and {x["page_id"]: x["text"] for x in got if x["page_id"] < 500} == want
+    assert {x["page_id"]: x["n_chars"] for x in got if x["page_id"] >= 500} == {500: 0, 501: 0, 502: 20_000 * 45 - 1}
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_table(spark):
+    """The table's own template, cut by a plain regular expression."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {x["page_id"]: x["text"] for x in html_text.extract(pages).collect()}
+    for x in pages.collect():
+        article = re.search(r"<article>(.*)</article>", x["html"] or "", re.S)
+        own = re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", article[1].replace("<br>", " "))) if article else []
+        lines = [" ".join(html.unescape(b).split()) for b in own]
+        assert not article or got[x["page_id"]] == "\n".join(b for b in lines if b)
 
 
 def test_tokens(spark):
@@ -410,6 +477,104 @@ def test_pii(spark):
     assert pii.report(docs.limit(0)).count() == 0 == pii.redact(docs.limit(0)).count()
 
 
+def test_tokens_over_documents(spark):
+    """Every text of a table through the overlapping chunks, and through pieces, equals the library."""
+    import public_tokenizers
+
+    whole = tokens.load(open(public_tokenizers.path(tokens.VOCABULARY), encoding="utf-8").read())
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.union(docs.limit(3)).withColumn("n_tokens", F.lit("x"))
+    want = sorted((x["doc_id"], len(whole.encode(x["text"] or "", add_special_tokens=False))) for x in docs.collect())
+    for most in (1, 1 << 16):
+        assert sorted((x["doc_id"], x["n_tokens"]) for x in tokens.count_tokens(docs, huge=most, chunk=200, overlap=20).collect()) == want
+    assert tokens.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_toxicity_dense(spark):
+    """Features by plain loops, and FTRL-proximal coordinate by coordinate in plain floats."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(19)
+    texts = [" ".join(words(r.randrange(12), r)) for _ in range(40)] + ["", "one", "ONE Two"]
+    hashed = list(toxicity._word_rows(pa.array(texts)))
+    own = {}
+    for t, h in zip(texts, hashed):
+        w = re.findall("[a-z0-9]+", t.lower())
+        assert len(w) == len(h) and all(own.setdefault(a, int(b)) == int(b) for a, b in zip(w, h))
+        grams = [toxicity.tc.ngrams(np.array([own[a], own[b]], np.uint64), 2)[0] for a, b in zip(w, w[1:])]
+        grams += [toxicity.tc.ngrams(np.array([own[a], 0, own[b]], np.uint64), 2, skip=1)[0] for a, b in zip(w, w[2:])]
+        assert toxicity.features(h).tolist() == sorted({int(x) >> 20 & (1 << toxicity.DIM_BITS) - 1 for x in [*h, *grams]})
+    alpha, beta, l1, l2, dim = 0.7, 1.0, 0.3, 0.05, 64
+    model, z, n = toxicity.Ftrl(dim, alpha, beta, l1, l2), [0.0] * (dim + 1), [0.0] * (dim + 1)
+    for _ in range(300):
+        x, y = sorted(r.sample(range(dim), r.randrange(1, 9))), r.randrange(2)
+        model.learn(np.array(x), y)
+        w = {i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2) for i in [*x, dim]}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in [*x, dim]:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+            n[i] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+
+
+def test_toxicity_bounds(spark):
+    """Repeated and very long rows, ties, and the bound on the bytes learned from."""
+    r = random.Random(23)
+    rows = [(i, " ".join(words(30, r) + (["vilewort"] if i % 4 == 0 else [])), "s") for i in range(200)]
+    rows += [rows[0], (300, "vilewort " + " ".join(words(40_000, r)), "s"), (None, "x", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(0, 1), (300, 1)], "doc_id long, toxic int")
+    few = toxicity.fit(docs, labels, F.lit(True), fit_bytes=2000)
+    assert abs(few).sum() >= 0 and (toxicity.fit(docs, labels, F.lit(True), fit_bytes=1)[:-1] != 0).sum() <= 40_000 * 3
+    out = toxicity.report(docs, labels).collect()
+    assert len(out) == len(rows) and len({x["score"] for x in out if x["doc_id"] == 0}) == 1 and all(0 <= x["score"] <= 1 for x in out)
+    assert toxicity.report(docs.limit(0), labels).count() == 0
+
+
+def test_language_dense(spark):
+    """Counts by plain loops over bytes, and the nearest centroid by plain cosines."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(29)
+    texts = [" ".join(words(r.randrange(1, 9), r)) for _ in range(30)] + ["Éa 1ß", "x", "½ ² ①", "日本語 abc"]
+    for t, c in zip(texts, language.counts(pa.array(texts))):
+        if not any(x.isalpha() for x in t):
+            assert c is None
+            continue
+        raw = [32] + [b if b >= 128 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in t.encode()]
+        want = np.zeros(1 << language.DIM_BITS)
+        for x, y in zip(raw, raw[1:]):
+            want[((x * 256 + y + (1 << 30)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - language.DIM_BITS)] += 1
+        for x, y, z in zip(raw, raw[1:], raw[2:]):
+            want[(((x * 256 + y) * 256 + z) * 0xC2B2AE3D27D4EB4F % 2**64) >> (64 - language.DIM_BITS)] += 1
+        assert (c == want).all()
+    rows = [(i, " ".join("".join(r.choice(s) for _ in range(4)) for _ in range(20)), l) for i, (l, s) in enumerate([("en", "abcde"), ("de", "defgh"), ("fr", "hijkl")] * 20)]
+    rows += [rows[0], (900, "½ ² ①", "en"), (901, " ".join(words(60_000, r)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True))
+    got = {x["doc_id"]: x for x in language.predict(docs.withColumn("score", F.lit("x")), model).collect()}
+    for i, t, _ in rows:
+        c = next(language.counts(pa.array([t])))
+        if c is None:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        x = np.log1p(c) * model["idf"]
+        cos = [float(np.dot(x, m) / np.linalg.norm(x) / np.linalg.norm(m)) for m in model["centroids"]]
+        best = int(np.argmax(cos))
+        assert got[i]["lang_pred"] == model["langs"][model["owner"][best]] and abs(got[i]["score"] - cos[best]) < 1e-5
+    # a tie goes to the first language by name
+    tied = {**model, "langs": ["a", "b"], "owner": np.array([0, 1]), "centroids": np.stack([model["centroids"][0]] * 2), "limit": np.zeros(2)}
+    assert {x["lang_pred"] for x in language.predict(docs.where("doc_id < 5"), tied).collect()} == {"a"}
+
+
+def test_mixing_blocks():
+    assert [mixing.blocks_for(n) for n in (0, 1, 50_000_000, 50_000_001, 10**10)] == [512, 512, 512, 1024, 512 * 200]
+
+
 def test_pii_over_documents(spark):
     """Base spans of a whole table by the plain patterns of the contract."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -294,13 +294,17 @@ def around(found: list[tuple], path: str) -> list[tuple]:
         top = "/".join(names[: at + 1])
         own = _first(names, "article", at)
         article = "/".join(names[: own + 1]) if own >= 0 else None
+        others: set[str] = set()  # containers of other articles, below the main element and apart from the text's own article
+        for p in {b[0] for b in found} if article else ():
+            parts = p.split("/")
+            i = _first(parts, "article", at)
+            if i >= 0 and _under(p, top) and "/".join(parts[: i + 1]) != article:
+                others |= {c for c in ("/".join(parts[:k]) for k in range(at + 2, i + 2)) if not _under(article, c)}
 
         def kept(b: tuple) -> bool:
             if not _under(b[0], top) or (b[0] in links and not _under(b[0], article or path)):
                 return False
-            parts = b[0].split("/")
-            i = _first(parts, "article", at)
-            return article is None or i < 0 or "/".join(parts[: i + 1]) == article
+            return not others or _under(b[0], article) or not any(_under(b[0], c) if c.rpartition("/")[2].split(".")[0] == "article" else b[0] == c for c in others)
     else:
         at = _first(names, "article")
         if at >= 0:

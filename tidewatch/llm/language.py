@@ -15,13 +15,12 @@ common one gives more.  Everything else, the limits too, reads all rows and whol
 Centroids are at most FIT_ROWS * DIM floats and are broadcast behind that bound; labels
 beyond FIT_ROWS different ones are not learned.
 
-Defined cases: null text, or text without a letter -> `und`, score 0, rejected.
+Defined cases: null text, or text without a letter (Unicode category L) -> `und`, score 0, rejected.
 Without any usable label every text is `und`.  Ties go to the first language by name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from . import textcore as tc
-from .common import crc_mod, byte_bound
+from .common import byte_bound, crc_mod
 
 DIM_BITS, FIT_ROWS, CENTROIDS, LANG_ROWS = 12, 4000, 4, 1000
 
@@ -46,13 +45,12 @@ def counts(arr) -> Iterator[np.ndarray]:
     """Hashed n-gram counts of each row; None for a row without a letter."""
     dim, shift = 1 << DIM_BITS, np.uint64(64 - DIM_BITS)
     table = _letters()
-    letter = re.compile(r"[^\W\d_]")
     buf, offs = tc.text_bytes(arr)
     ascii_letter = np.zeros(256, bool)
     ascii_letter[65:91] = ascii_letter[97:123] = True
     for i in range(len(offs) - 1):
         raw = buf[offs[i] : offs[i + 1]]
-        if not ascii_letter[raw].any() and not letter.search(raw.tobytes().decode("utf-8", "replace")):
+        if not ascii_letter[raw].any() and not any(map(str.isalpha, raw.tobytes().decode("utf-8", "replace"))):
             yield None
             continue
         total = np.zeros(dim)
@@ -138,7 +136,7 @@ def fit(docs: DataFrame, allowed, fit_rows: int = FIT_ROWS) -> dict:
     usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     texts = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     turn = F.xxhash64("doc_id")
-    named = texts.where(F.col("text").rlike(r"(?U)[^\W\d_]")).select("doc_id", "lang").distinct().withColumn("part", F.pmod(turn, F.lit(64)))
+    named = texts.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").distinct().withColumn("part", F.pmod(turn, F.lit(64)))
     # first within 64 parts of a language, so that no task sorts a whole common one
     some = named.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(turn, "doc_id"))).where(F.col("n") <= LANG_ROWS)
     some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(turn, "doc_id"))).where(F.col("n") <= LANG_ROWS)

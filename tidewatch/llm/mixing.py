@@ -9,7 +9,7 @@ the larger of the two is used, so the repetition limit holds whenever t = 1 allo
 `budget` is in tokens; left out, it is the least with which every document is seen.
 
 The weights are realised as budgeted block permutations.  A source is cut into BLOCKS
-blocks by a hash of the id; each epoch has its own order of blocks and of documents in
+blocks, and as many more for every further BLOCK_ROWS rows of the table, by a hash of the id; each epoch has its own order of blocks and of documents in
 a block.  A source is seen for as many whole epochs as its share of the budget pays,
 then for a prefix of the next epoch's permutation: whole blocks, and of the block that
 crosses the budget the documents before the cut.  Only sums by (source, block) and the
@@ -20,7 +20,7 @@ A row is one visit: `epoch`, `block_rank` (the block's place in its source's epo
 
 Defined cases: a null source is a source of its own; null or empty text has 0 tokens;
 a source without any token is seen once; null ids share one place in the order, and
-repeated rows are visited each; an empty table gives an empty mix.  Extra columns stay,
+repeated rows are visited each, and rows that share a doc_id but not a source each in its own; an empty table gives an empty mix.  Extra columns stay,
 but for those with a name that is added here, which are replaced.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from .common import staged
 
 ENTROPY, MAX_EPOCHS, BLOCKS, SEED = 0.97, 2.0, 512, "mix"
-GRID, POINTS = 1 << 20, 32
+GRID, POINTS, BLOCK_ROWS = 1 << 20, 32, 50_000_000
 BROADCAST_ROWS = 100_000
 
 
@@ -47,11 +47,15 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long"), F.lit(0).cast("long"))
 
 
-def _keys(docs: DataFrame) -> dict[str, Column]:
+def blocks_for(rows: int) -> int:
+    return BLOCKS * max(1, -(-rows // BLOCK_ROWS))
+
+
+def _keys(docs: DataFrame, blocks: int) -> dict[str, Column]:
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     source = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("n"))
     text = F.col("text").cast("string")
-    return {"_id": ident, "_source": source, "_block": _number(_md5(ident), BLOCKS), "n_tokens": F.when(text.isNull(), F.lit(0).cast("long")).otherwise(tokens_of(text))}
+    return {"_id": ident, "_source": source, "_block": _number(_md5(ident), blocks), "n_tokens": F.when(text.isNull(), F.lit(0).cast("long")).otherwise(tokens_of(text))}
 
 
 def exponent(sources: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float | None = None) -> float:
@@ -92,9 +96,9 @@ def exponent(sources: DataFrame, entropy: float = ENTROPY, max_epochs: float = M
     return max(eased, held, 0) / GRID
 
 
-def plan(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float | None = None, seed: str = SEED) -> DataFrame:
+def plan(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float | None = None, seed: str = SEED, blocks: int = BLOCKS) -> DataFrame:
     """Visits by block: (_source, _block, epoch, block_rank, last_key); last_key null means the whole block."""
-    small = staged(docs.select(*[c.alias(n) for n, c in _keys(docs).items()]), "mix")
+    small = staged(docs.select(*[c.alias(n) for n, c in _keys(docs, blocks).items()]), "mix")
     by_block = staged(small.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("size")), "blocks")
     sources = by_block.groupBy("_source").agg(F.sum("size").alias("tokens"))
     t = exponent(sources.where("tokens > 0"), entropy, max_epochs, budget)
@@ -110,7 +114,7 @@ def plan(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOC
 
     visits = by_block.join(share.select("_source", "whole", "rest"), "_source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
     visits = visits.withColumn("turn", _md5(F.lit(seed), F.col("epoch").cast("string"), F.col("_block").cast("string")))
-    order = Window.partitionBy("_source", "epoch").orderBy("turn", "_block")  # at most BLOCKS rows
+    order = Window.partitionBy("_source", "epoch").orderBy("turn", "_block")  # at most `blocks` rows
     visits = visits.withColumn("block_rank", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order))
     visits = staged(visits.where("epoch < whole or upto - size < rest").withColumn("left", F.when(F.col("epoch") < F.col("whole"), None).when(F.col("upto") <= F.col("rest"), None).otherwise(F.col("rest") - (F.col("upto") - F.col("size")))), "visits")
 
@@ -129,10 +133,11 @@ def _light(rows: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, entropy: float = ENTROPY, max_epochs: float = MAX_EPOCHS, budget: float | None = None, seed: str = SEED) -> DataFrame:
     """docs, one row for every visit, plus n_tokens, epoch, block_rank and order_key."""
-    decided = staged(plan(docs, entropy, max_epochs, budget, seed), "plan")
+    blocks = blocks_for(docs.count())
+    decided = staged(plan(docs, entropy, max_epochs, budget, seed, blocks), "plan")
     added = {"n_tokens", "epoch", "block_rank", "order_key"}
     own = [c for c in docs.columns if c not in added]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), *[c.alias(n) for n, c in _keys(docs).items()])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_doc"), *[c.alias(n) for n, c in _keys(docs, blocks).items()])
     rows = keyed.join(_light(decided), ["_source", "_block"]).withColumn("order_key", _md5(F.lit(seed), F.col("epoch").cast("string"), F.col("_id")))
     rows = rows.where(F.col("last_key").isNull() | (F.col("order_key") <= F.col("last_key")))
     return rows.select("_doc.*", "n_tokens", "epoch", "block_rank", "order_key")
@@ -148,7 +153,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS id, coalesce('s:' || source, 'n') AS src,
          coalesce(len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')), 0) AS n_tokens
   FROM documents),
-b AS (SELECT *, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % {BLOCKS} AS blk FROM d),
+b AS (SELECT *, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % (SELECT {BLOCKS} * greatest(1, CAST(ceil(count(*) / {BLOCK_ROWS}.0) AS BIGINT)) FROM d) AS blk FROM d),
 bs AS (SELECT src, blk, CAST(sum(n_tokens) AS BIGINT) AS size FROM b GROUP BY src, blk),
 s AS (SELECT src, CAST(sum(size) AS DOUBLE) AS tokens FROM bs GROUP BY src),
 p AS (SELECT tokens / (SELECT sum(tokens) FROM s) AS p FROM s WHERE tokens > 0),

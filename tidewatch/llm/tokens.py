@@ -160,7 +160,7 @@ def count_pieces(counter: Counter, text: str) -> int:
     return sum(map(known.__getitem__, own))
 
 
-def _count(sent):
+def _count(sent, huge: int, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         definition = sent.value
         cache = worker_cache()
@@ -172,13 +172,13 @@ def _count(sent):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts = [0] * len(texts)
             for i, t in enumerate(texts):
-                counts[i] = count_huge(counter.tokenizer, t) if len(t) > HUGE else count_pieces(counter, t)
+                counts[i] = count_huge(counter.tokenizer, t, chunk, overlap) if len(t) > huge else count_pieces(counter, t)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.  vocabulary: path of a tokenizer's JSON file, read on the driver."""
     byte_bound(docs.sparkSession)
     if vocabulary is None:
@@ -188,4 +188,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file of a fixed size
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")).cast("long"), F.lit(0).cast("long")).alias("n_bytes"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_count(sent), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(_count(sent, huge, chunk, overlap), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

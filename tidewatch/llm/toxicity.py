@@ -6,11 +6,12 @@ per coordinate; L1 leaves few non-zero weights, which are broadcast (at most 2**
 weights of 8 bytes, a proven 2 MB).
 
 The fit uses at most FIT_ROWS labelled rows, the lowest by a hash of the id among
-those allowed; the bound is a parameter, and everything else reads all rows.  The
-features of those rows are computed on the executors.  Scoring reads whole texts.
+those allowed, and of these only the first whose features take FIT_BYTES together; both bounds
+are parameters, and everything else reads all rows.  The features of those rows are computed on
+the executors, and repeats of an id are dropped there.  Scoring reads whole texts.
 
 Defined cases: null or empty text scores the intercept alone; conflicting labels of
-one id count as toxic if any says so; null labels and null ids are not learned from;
+one id count as toxic if any says so, and of several texts of one id one is learned; null labels and null ids are not learned from;
 without any usable label every score is 0.
 """
 
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
-from .common import crc_mod, byte_bound
+from .common import byte_bound, crc_mod, drop_staged, staged
 
-DIM_BITS, FIT_ROWS, EPOCHS, THRESHOLD = 18, 12000, 5, 0.7
+DIM_BITS, FIT_ROWS, FIT_BYTES, EPOCHS, THRESHOLD = 18, 12000, 64 << 20, 5, 0.7
 ALPHA, BETA, L2 = 3.0, 1.0, 0.02
 
 
@@ -75,17 +76,22 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, allowed, fit_rows: int = FIT_ROWS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, allowed, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> np.ndarray:
     """Weights (the last is the intercept) from labelled rows for which the column `allowed` holds."""
     byte_bound(docs.sparkSession)
     usable = labels.where(allowed & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most fit_rows rows of 12 bytes
-    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_featurise, "doc_id long, toxic int, x binary").toPandas()
+    known = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_featurise, "doc_id long, toxic int, x binary")
+    known = staged(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("x").alias("x")).withColumn("turn", F.xxhash64("doc_id")), "features")
+    sizes = known.select("turn", F.octet_length("x").alias("n")).orderBy("turn").toPandas()  # at most fit_rows rows of 12 bytes
+    last = sizes["turn"][(sizes["n"].cumsum() <= fit_bytes) | (sizes.index == 0)].max() if len(sizes) else 0
+    rows = known.where(F.col("turn") <= F.lit(int(last))).select("doc_id", "toxic", "x").toPandas()  # at most fit_bytes of features, or one row
+    drop_staged(known)
     if len(rows):
         model = Ftrl(1 << DIM_BITS, l1=l1_for(int((rows["toxic"] > 0).sum())))
-        rows = rows.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
+        rows = rows.sort_values("doc_id")
         xs, ys = [np.frombuffer(x, np.int32) for x in rows["x"]], rows["toxic"].to_numpy()
         rng = np.random.default_rng(7)
         for _ in range(EPOCHS):
