@@ -48,7 +48,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[A-Za-z0-9@._%+#/-]+")
 WORD = re.compile(r"\w")
-SECRET = re.compile(r"(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?([A-Za-z0-9_+/=.-]{12,})|\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})\b", re.I)
+#: a value after a sign, the name it is assigned to, and keys of published forms
+ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([A-Za-z0-9_+/=.-]{11,}[A-Za-z0-9=])")
+SECRET_NAME = re.compile(r"(?:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,8}\Z", re.I)
+KEY_FORM = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})\b")
 PREFIX = re.compile(r"[a-z]{2,}[-_#/]?")
 
 
@@ -89,12 +92,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def secret_spans(text: str) -> list[tuple[int, int, int]]:
     """Seeds of the kind `secret`: values with a digit that a name or their form gives away."""
-    out = []
-    for m in SECRET.finditer(text):
-        g = 1 if m[1] else 2
-        if DIGIT.search(m[g]):
-            out.append((BASE, *m.span(g)))
-    return out
+    out = [m.span(1) for m in ASSIGNED.finditer(text) if DIGIT.search(m[1]) and SECRET_NAME.search(text[max(0, m.start() - 24) : m.start()])] if "=" in text or ":" in text else []
+    if "AKIA" in text or "gh" in text and "_" in text:
+        out += [m.span() for m in KEY_FORM.finditer(text) if not any(s < m.end() and m.start() < e for s, e in out)]
+    return [(BASE, s, e) for s, e in sorted(out)]
 
 
 def seeds(text: str) -> list[tuple[int, int, int]]:
