@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, graph, html_text, language, licenses, lsh_vectors, minhash, mixing, pii, tokens, toxicity
+from tidewatch.llm import common, decontaminate, graph, html_text, language, licenses, lsh_vectors, minhash, mixing, pii, tokens, toxicity
 
 rng = random.Random(3)
 VOCAB = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
@@ -585,6 +585,15 @@ def test_pii_over_documents(spark):
         assert got[x["doc_id"]] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
 
 
+def test_sieve(spark):
+    keys = spark.range(0, 3000, 3).withColumn("digest", F.unhex(F.md5(F.col("id").cast("string"))))
+    for most in (16 << 20, 1 << 13):
+        maybe = common.sieve(keys, "digest", most)
+        got = spark.range(3001).select("id", maybe(F.unhex(F.md5(F.col("id").cast("string")))).alias("m")).collect()
+        assert all(x["m"] for x in got if x["id"] % 3 == 0 and x["id"] < 3000) and sum(not x["m"] for x in got) > 1500
+    assert spark.range(5).where(common.sieve(keys.limit(0), "digest")(F.lit(None).cast("binary"))).count() == 0
+
+
 def test_left_classes(spark):
     rows = spark.createDataFrame([(i, bytes([i % 3])) for i in range(30)], "id int, digest binary")
     more = spark.createDataFrame([(bytes([1]), 10, [4, 5])], "digest binary, copies long, more array<int>")

@@ -7,7 +7,9 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,3 +73,44 @@ def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker process."""
     module = sys.modules.setdefault("_tidewatch_worker_cache", types.ModuleType("_tidewatch_worker_cache"))
     return module.__dict__.setdefault("cache", {})
+
+
+def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, packed, in which the first bits of every hash(long) in the column `hash` are set; built on the executors."""
+    chunk = min(bits, 19)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(1 << chunk, bool)
+        own[pdf["bit"].to_numpy() & ((1 << chunk) - 1)] = True
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(own).tobytes()]})
+
+    placed = hashes.select(F.shiftrightunsigned("hash", 64 - bits).alias("bit")).distinct().withColumn("part", F.shiftright("bit", chunk))
+    whole, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (chunk - 3)
+    for r in placed.groupBy("part").applyInPandas(pack, "part long, bits binary").toLocalIterator():  # as many bytes in all as the bitmap has
+        whole[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return whole
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes.view(np.uint64) >> np.uint64(61 - (len(bitmap).bit_length() - 1))
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def sieve(keys: DataFrame, key: str, most_bytes: int = 16 << 20):
+    """A function of a key column that is false only for keys that `keys`, a staged table, does not hold.
+
+    It rests on a broadcast bitmap of 32 bits a key, most_bytes at most, so rows it turns away need no join
+    and no shuffle.  Beyond that size it lets more rows through; a join behind it decides.
+    """
+    n = keys.count()
+    bits = min(max(16, (32 * n).bit_length()), (most_bytes * 8).bit_length() - 1)
+    sent = keys.sparkSession.sparkContext.broadcast(bitmap_of(keys.select(F.xxhash64(key).alias("hash")), bits))
+
+    @F.pandas_udf(T.BooleanType())
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(sent.value, h.to_numpy(np.int64)))
+
+    def of(column: Column) -> Column:
+        return maybe(F.xxhash64(column))
+
+    return of

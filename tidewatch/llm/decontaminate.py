@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
-from .common import byte_bound, staged
+from .common import bitmap_of, byte_bound, in_bitmap, sieve, staged
 from .graph import join_classes
 
 WINDOW, HASH_BYTES, BITS = 10, 32 << 20, 20
@@ -59,30 +59,13 @@ def windows_of(benchmark: DataFrame) -> DataFrame:
     return staged(items.mapInArrow(_cut_windows, "k int, hash long, words string, item_id long").distinct(), "windows")
 
 
-def _bitmap(bits: int):
-    def run(pdf):
-        import pandas as pd
-
-        own = np.zeros(1 << 19, bool)
-        own[pdf["bit"].to_numpy() & ((1 << 19) - 1)] = True
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [np.packbits(own).tobytes()]})
-
-    return run
-
-
 def hash_sets(windows: DataFrame, hash_bytes: int = HASH_BYTES) -> dict:
     """k -> sorted hashes, where 8 bytes a window stay within hash_bytes; beyond, 0 -> a bitmap of that size over all lengths."""
     distinct = windows.select("k", "hash").distinct()
     if distinct.count() * 8 <= hash_bytes:
         rows = distinct.toPandas()  # at most hash_bytes of hashes
         return {int(k): np.sort(part["hash"].to_numpy().view(np.uint64)) for k, part in rows.groupby("k")}
-    bits = max(19, (hash_bytes * 8).bit_length() - 1)
-    bit = F.shiftrightunsigned("hash", 64 - bits)
-    parts = distinct.select(bit.alias("bit")).distinct().withColumn("part", F.shiftright("bit", 19)).groupBy("part").applyInPandas(_bitmap(bits), "part long, bits binary")
-    whole = np.zeros(1 << (bits - 3), np.uint8)
-    for r in parts.toLocalIterator():  # 64 KB a row, hash_bytes in all
-        whole[r["part"] << 16 : (r["part"] + 1) << 16] = np.frombuffer(r["bits"], np.uint8)
-    return {0: whole, "lengths": sorted(r["k"] for r in distinct.select("k").distinct().collect())}
+    return {0: bitmap_of(distinct.select("hash"), max(16, (hash_bytes * 8).bit_length() - 1)), "lengths": sorted(r["k"] for r in distinct.select("k").distinct().collect())}
 
 
 class Finder:
@@ -100,8 +83,7 @@ class Finder:
 
     def places(self, grams: np.ndarray, k: int) -> np.ndarray:
         if self.bitmap is not None:
-            bit = grams >> np.uint64(64 - (len(self.bitmap).bit_length() + 2))
-            return np.flatnonzero(self.bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & 1)
+            return np.flatnonzero(in_bitmap(self.bitmap, grams))
         at = np.flatnonzero(self.first[k][(grams & np.uint64((1 << BITS) - 1)).astype(np.int64)])
         hashes = self.sets[k]
         return at[hashes[np.minimum(np.searchsorted(hashes, grams[at]), len(hashes) - 1)] == grams[at]]
@@ -187,10 +169,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode!r}")
     _, found = scan(docs, benchmark, hash_bytes)
-    clean = _boxed(docs).join(found.select("digest"), "digest", "left_anti").select("_doc.*")
+    # texts the sieve turns away are surely clean and are not shuffled, however large the table of the others is
+    perhaps, own = sieve(found, "digest")(F.col("digest")), found.select("digest")
+    clean = _boxed(docs).where(~perhaps).unionByName(_boxed(docs).where(perhaps).join(own, "digest", "left_anti").select("_doc", "text", "digest")).select("_doc.*")
     if mode == "documents":
         return clean
-    hit = join_classes(_boxed(docs).join(found.select("digest"), "digest", "left_semi"), found.select("digest", "copies", "windows"), key="digest")
+    hit = join_classes(_boxed(docs).where(perhaps).join(own, "digest", "left_semi"), found.select("digest", "copies", "windows"), key="digest")
     cut = hit.mapInArrow(_cut, hit.schema)
     return clean.unionByName(cut.select(*[F.col("text").alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns]))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 from . import textcore as tc
 from .common import byte_bound, crc_mod
 
-DIM_BITS, FIT_ROWS, CENTROIDS, LANG_ROWS = 12, 4000, 4, 1000
+DIM_BITS, FIT_ROWS, CENTROIDS, LANG_ROWS, PARTS = 12, 4000, 4, 1000, 64
 
 
 def _letters() -> np.ndarray:
@@ -136,9 +136,9 @@ def fit(docs: DataFrame, allowed, fit_rows: int = FIT_ROWS) -> dict:
     usable = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     texts = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     turn = F.xxhash64("doc_id")
-    named = texts.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").distinct().withColumn("part", F.pmod(turn, F.lit(64)))
-    # first within 64 parts of a language, so that no task sorts a whole common one
-    some = named.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(turn, "doc_id"))).where(F.col("n") <= LANG_ROWS)
+    named = texts.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").distinct().withColumn("part", F.pmod(turn, F.lit(PARTS)))
+    # first within PARTS parts of a language, so that no task sorts a whole common one, twice its share of each
+    some = named.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy(turn, "doc_id"))).where(F.col("n") <= 2 * LANG_ROWS // PARTS + 1)
     some = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(turn, "doc_id"))).where(F.col("n") <= LANG_ROWS)
     ids = some.orderBy("n", turn, "doc_id", "lang").select("doc_id", "lang").limit(fit_rows)
     # at most fit_rows rows of 8 bytes and a label

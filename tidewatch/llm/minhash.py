@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textcore as tc
-from .common import byte_bound, drop_staged, staged
+from .common import byte_bound, drop_staged, sieve, staged
 from .graph import cells, components, join_classes
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS, THRESHOLD = 5, 120, 48, 5, 75
@@ -300,8 +300,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = staged(pairs.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
 
     families = staged(components(pairs.select("a", "b")).toDF("node", "family"), "families")
-    reps = classes.join(families, "node").select("node", "rep.doc_id", "rep.digest")
-    texts = docs.join(reps, ["doc_id", "digest"]).select("node", "text").mapInArrow(_sets, "node long, set binary")
+    reps = staged(classes.join(families, "node").select("node", "rep.doc_id", "rep.digest"), "reps")
+    # only the texts of classes in a family, and the few others that the sieve lets through, are shuffled
+    texts = docs.where(sieve(reps, "digest")(F.col("digest"))).join(reps, ["doc_id", "digest"]).select("node", "text").mapInArrow(_sets, "node long, set binary")
     sets = staged(texts.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
     # each class with its likeliest partner, ties in an order of their own for each class
@@ -326,7 +327,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lowest = found.groupBy("label").agg(F.min("rep").alias("first"))
     linked = found.join(lowest, "label").select("node", "first")
     final = staged(classes.join(linked, "node", "left").select("key", "copies", F.coalesce("first", "rep").alias("first")), "final")
-    drop_staged(classes, dealt, families, sets, first, links, labels, more)
+    drop_staged(classes, dealt, families, reps, sets, first, links, labels, more)
     return signed, named, final
 
 
@@ -353,6 +354,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     judged = staged(judged.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "wins"), "judged")
     text = F.col("text").cast("string")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.unhex(F.md5(text.cast("binary"))).alias("_digest"))
-    alone = boxed.join(judged, ["_id", "_digest"], "left_anti")
-    once = boxed.join(judged.where("wins = 1"), ["_id", "_digest"]).groupBy("_id", "_digest").agg(F.first("_doc").alias("_doc"))
-    return alone.select("_doc.*").unionByName(once.select("_doc.*"))
+    # texts the sieve turns away have no copy and are not shuffled
+    perhaps = sieve(judged, "_digest")(F.col("_digest"))
+    rest = staged(boxed.where(perhaps).join(judged, ["_id", "_digest"], "left").where("wins is null or wins = 1"), "rest")
+    once = rest.where("wins = 1").groupBy("_id", "_digest").agg(F.first("_doc").alias("_doc"))
+    return boxed.where(~perhaps).select("_doc.*").unionByName(rest.where("wins is null").select("_doc.*")).unionByName(once.select("_doc.*"))
