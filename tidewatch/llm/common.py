@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,18 +99,19 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def sieve(keys: DataFrame, key: str, most_bytes: int = 16 << 20):
     """A function of a key column that is false only for keys that `keys`, a staged table, does not hold.
 
-    It rests on a broadcast bitmap of 32 bits a key, most_bytes at most, so rows it turns away need no join
+    It rests on a bitmap of 32 bits a key, most_bytes at most, which the plan holds as the value of a
+    scalar subquery, so rows it turns away need no join
     and no shuffle.  Beyond that size it lets more rows through; a join behind it decides.
     """
     n = keys.count()
     bits = min(max(16, (32 * n).bit_length()), (most_bytes * 8).bit_length() - 1)
-    sent = keys.sparkSession.sparkContext.broadcast(bitmap_of(keys.select(F.xxhash64(key).alias("hash")), bits))
-
-    @F.pandas_udf(T.BooleanType())
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(sent.value, h.to_numpy(np.int64)))
+    spark = keys.sparkSession
+    whole = spark.createDataFrame([(bitmap_of(keys.select(F.xxhash64(key).alias("hash")), bits).tobytes(),)], "bits binary")
 
     def of(column: Column) -> Column:
-        return maybe(F.xxhash64(column))
+        bit = F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
+        byte = whole.scalar().substr((F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+        value = F.conv(F.hex(byte), 16, 10).cast("int")
+        return F.when((bit % 8) == 7, value % 2 == 1).otherwise(F.floor(value / F.pow(F.lit(2), 7 - bit % 8)) % 2 == 1)
 
     return of

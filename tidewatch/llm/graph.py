@@ -14,10 +14,12 @@ def _smaller_first(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node has one parent at most and no parent has one."""
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether every node has one parent at most and no parent has one."""
     ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("b"), F.lit(0), F.lit(1)))
-    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+    by_node = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    row = by_node.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.coalesce(F.max(F.expr("up > 1 or (up > 0 and down > 0)")), F.lit(False)).alias("open")).first()
+    return row["n"], not row["open"]
 
 
 def _with_least(rows: DataFrame, light: bool) -> DataFrame:
@@ -38,9 +40,10 @@ def components(edges: DataFrame, max_rounds: int = 60, light_rows: int = LIGHT_R
     """
     now = staged(_smaller_first(edges), "edges")
     for _ in range(max_rounds):
-        if _settled(now):
+        n, settled = _state(now)
+        if settled:
             break
-        light = now.count() <= light_rows // 2
+        light = n <= light_rows // 2
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         near = _with_least(both if light else staged(both, "both"), light)
         large = near.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()

@@ -275,6 +275,10 @@ def _confirm_cell(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links_between(pdf["node"].to_numpy(), pdf["label"].to_numpy(), list(pdf["sketch"]), list(pdf["set"])), columns=["a", "b"], dtype="int64")
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def _labelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """edges(a, b, ...) with the components la and lb of their ends; a class in none is its own."""
     for end in ("a", "b"):
@@ -309,25 +313,24 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ends = pairs.select("a", "b", "agree").union(pairs.select("b", "a", "agree"))
     best = ends.groupBy("a").agg(F.max(F.struct("agree", F.xxhash64("a", "b"), "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     first = staged(confirmed(best, sets), "first")
-    labels = staged(components(first), "labels")
-    open_ = _labelled(pairs.join(best.union(best.select("b", "a")).distinct(), ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b")
-    links = staged(first.unionByName(confirmed(open_, sets)), "links")
-    drop_staged(labels, pairs)
+    near = staged(components(first), "labels")
+    open_ = _labelled(pairs.join(best.union(best.select("b", "a")).distinct(), ["a", "b"], "left_anti"), near).where("la <> lb").select("a", "b")
+    # what is joined already goes on as one edge a class
+    labels = staged(components(_stars(near).unionByName(confirmed(open_, sets))), "labels")
 
-    labels = staged(components(links), "labels")
     members = families.join(labels, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label"))
     unlike = members.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("family")
     again = cells(members.join(unlike, "family").join(sketches, "node"), "family", "node", FAMILY_BLOCK)
     again = again.sortWithinPartitions("family", "cell_i", "cell_j").select("family", "cell_i", "cell_j", "own", "node", "label", "sketch")
     likely = again.mapInArrow(_likely, "family long, sub_i long, sub_j long, node long, label long, sketch binary").join(sets, "node")
     more = staged(likely.repartition("family", "sub_i", "sub_j").groupBy("family", "sub_i", "sub_j").applyInPandas(_confirm_cell, "a long, b long"), "more")
-    whole = components(links.unionByName(more))
+    whole = components(_stars(labels).unionByName(more))
 
     found = whole.join(classes.select("node", "rep"), "node")
     lowest = found.groupBy("label").agg(F.min("rep").alias("first"))
     linked = found.join(lowest, "label").select("node", "first")
     final = staged(classes.join(linked, "node", "left").select("key", "copies", F.coalesce("first", "rep").alias("first")), "final")
-    drop_staged(classes, dealt, families, reps, sets, first, links, labels, more)
+    drop_staged(classes, dealt, pairs, families, reps, sets, first, near, labels, more)
     return signed, named, final
 
 
