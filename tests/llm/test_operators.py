@@ -113,7 +113,7 @@ def test_heaviest_forest():
 
 def test_components_beyond_broadcast(spark):
     pairs = [(0, i) for i in range(1, 400)] + [(i, i + 1) for i in range(500, 540)] + [(399, 540)]
-    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(pairs, "a long, b long"), light_rows=0).collect()}
+    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(pairs, "a long, b long"), light_edges=0).collect()}
     assert set(got.values()) == {0} and len(got) == 441
 
 
@@ -130,8 +130,11 @@ def test_components(spark):
     for a, b in pairs:
         p, q = sorted((root(a), root(b)))
         up[q] = p
-    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {x: root(x) for x in up if any(x in p and p[0] != p[1] for p in pairs)}
+    want = {x: root(x) for x in up if any(x in p and p[0] != p[1] for p in pairs)}
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for light in (0, 10_000):
+        assert {x["node"]: x["label"] for x in graph.components(edges, light_edges=light).collect()} == want
+    assert graph.components(edges.limit(0)).count() == 0
 
 
 def test_vectors(spark):

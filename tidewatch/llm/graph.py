@@ -2,56 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import drop_staged, staged
 
-#: a table of two longs a row is broadcast up to so many rows (16 MB)
-LIGHT_ROWS = 1_000_000
+#: so many edges of two longs (8 MB) one task may hold, and so many array elements a broadcast
+LIGHT_EDGES, LIGHT_ROWS = 500_000, 1_000_000
 
 
 def _smaller_first(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, bool]:
-    """How many edges there are, and whether every node has one parent at most and no parent has one."""
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one parent at most and no parent has one."""
     ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("b"), F.lit(0), F.lit(1)))
-    by_node = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    row = by_node.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.coalesce(F.max(F.expr("up > 1 or (up > 0 and down > 0)")), F.lit(False)).alias("open")).first()
-    return row["n"], not row["open"]
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
-def _with_least(rows: DataFrame, light: bool) -> DataFrame:
-    """rows(a, b) with m, the least b of each a; no task gets all rows of an a with very many."""
+def _with_least(rows: DataFrame) -> DataFrame:
+    """Staged rows(a, b) with m, the least b of each a; no task gets all rows of an a with very many."""
     least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies"))
-    if light:
-        return rows.join(F.broadcast(least.drop("copies")), "a")
-    least = staged(least, "least")
-    return join_classes(rows, least, key="a")
+    return join_classes(rows, staged(least, "least"), key="a")
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all edges of one task: labels hook to the smaller one and are shortened until nothing changes."""
+    parts = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, place = np.unique(np.concatenate(parts, 1), return_inverse=True)
+    x, y = place.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        if (p == q).all():
+            break
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60, light_rows: int = LIGHT_ROWS) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, light_edges: int = LIGHT_EDGES) -> DataFrame:
     """edges(a, b) -> (node, label): label is the smallest node reachable; nodes without an edge are absent.
 
-    Alternating large-star and small-star steps; every step is a partial minimum per
-    node and a join with it, where the minima are broadcast if they are few, or else those of
-    the nodes with the most neighbours.  Each round is written to the shared folder.
+    Up to light_edges distinct edges are solved in one task of that bounded size.  More go through
+    alternating large-star and small-star steps; every step is a partial minimum per
+    node and a join with it, where those of the nodes with the most neighbours are
+    broadcast.  Each round is written to the shared folder.  Both ways give the same labels.
     """
     now = staged(_smaller_first(edges), "edges")
+    if now.count() <= light_edges:
+        return now.coalesce(1).mapInArrow(_solve, "node long, label long")
     for _ in range(max_rounds):
-        n, settled = _state(now)
-        if settled:
+        if _settled(now):
             break
-        light = n <= light_rows // 2
-        both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        near = _with_least(both if light else staged(both, "both"), light)
-        large = near.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
-        large = large if light else staged(large, "large")
-        low = _with_least(large, light)
-        small = low.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        both = staged(now.select("a", "b").union(now.select(F.col("b"), F.col("a"))), "both")
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = staged(large.where("a <> b").distinct(), "large")
+        small = _with_least(large).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = staged(small.where("a <> b").distinct(), "edges")
-        drop_staged(now)
+        drop_staged(now, both, large)
         now = after
     else:
         raise RuntimeError("components did not settle")
