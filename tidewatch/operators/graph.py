@@ -1,8 +1,7 @@
 """Graph operators over (source_id, target_id, rel_type): bounded expansion, paths, degrees.
 
 Every step is an equi-join of a frontier with the edges; visited nodes are removed with
-an anti-join.  Hop counts are bounded by MAX_HOPS.  A frontier is checkpointed in the
-shared folder every few hops so that the plan stays short.
+an anti-join.  Hop counts are bounded by MAX_HOPS, and the plan grows with them.
 """
 
 from __future__ import annotations

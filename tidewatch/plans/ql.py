@@ -413,6 +413,31 @@ class Engine:
             raise QuerySyntaxError(f"unknown variable {var!r}")
         return F.col(f"`{c}`") if c else F.lit(None)
 
+    def _is_text(self, df: DataFrame, e) -> bool:
+        """Whether an expression is known to be text: a literal, a text property, or a sum with one."""
+        if e[0] == "lit":
+            return isinstance(e[1], str)
+        if e[0] == "prop":
+            own = {c.lower(): c for c in df.columns}
+            c = own.get(f"{e[1]}__{BUILT_IN.get(e[2].lower(), e[2])}".lower()) or own.get(f"{e[1]}__{e[2]}".lower())
+            return c is not None and df.schema[c].dataType.typeName() == "string"
+        return e[0] == "arith" and e[1] == "+" and any(self._is_text(df, y) for y in e[2:4])
+
+    def _alike(self, df: DataFrame, left, right, x) -> tuple[Column, Column]:
+        """Both sides of a comparison; text against a number compares as a number and is NULL where it is none."""
+        a, b = x(left), x(right)
+        number = lambda y: y[0] == "lit" and isinstance(y[1], (int, float)) and not isinstance(y[1], bool) or (y[0] == "arith" and not self._is_text(df, y))
+        if self._is_text(df, left) and number(right):
+            a = a.try_cast("double")
+        elif self._is_text(df, right) and (number(left) or (left[0] == "prop" and not self._is_text(df, left))):
+            b = b.try_cast("double") if right[0] != "lit" or not self._is_bool(df, left) else b
+        return a, b
+
+    def _is_bool(self, df: DataFrame, e) -> bool:
+        own = {c.lower(): c for c in df.columns}
+        c = own.get(f"{e[1]}__{e[2]}".lower()) if e[0] == "prop" else None
+        return c is not None and df.schema[c].dataType.typeName() == "boolean"
+
     def _geometry(self, df: DataFrame, arg) -> tuple[Column, Column]:
         return self._column(df, arg[1], "lat"), self._column(df, arg[1], "lon")
 
@@ -439,7 +464,7 @@ class Engine:
         if kind == "not":
             return ~x(e[1])
         if kind == "cmp":
-            a, b = x(e[2]), x(e[3])
+            a, b = self._alike(df, e[2], e[3], x)
             return {"=": a == b, "!=": a != b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[e[1]]
         if kind == "null":
             return x(e[1]).isNull()
@@ -450,8 +475,12 @@ class Engine:
         if kind in ("contains", "starts", "ends"):
             return getattr(x(e[1]), {"contains": "contains", "starts": "startswith", "ends": "endswith"}[kind])(e[2])
         if kind == "arith":
-            a, b = x(e[2]), x(e[3])
-            return {"+": a + b, "-": a - b, "*": a * b, "/": a / b, "%": a % b}[e[1]]
+            texts = [self._is_text(df, y) for y in e[2:4]]
+            if e[1] == "+" and any(texts):
+                return F.concat(x(e[2]).cast("string"), x(e[3]).cast("string"))
+            # text in arithmetic counts as its number; a division by zero is NULL
+            a, b = (x(y).try_cast("double") if text else x(y) for y, text in zip(e[2:4], texts))
+            return {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b), "%": F.try_mod(a, b)}[e[1]]
         if kind == "case":
             c = None
             for cond, value in e[1]:

@@ -70,7 +70,7 @@ ql("ql_is_null", "MATCH (x) WHERE x.acctbal IS NULL AND x.size IS NOT NULL RETUR
 ql("ql_contains", 'MATCH (s) WHERE s.name CONTAINS "1" AND s.id STARTS WITH "supplier" RETURN s.id', WITH_ENT + "SELECT entity_id AS id FROM ent WHERE contains(name, '1') AND starts_with(entity_id, 'supplier')")
 ql("ql_inline_props", 'MATCH (c:customer {mktsegment: "BUILDING", nationkey: 5}) RETURN c.id', WITH_ENT + "SELECT entity_id AS id FROM ent WHERE entity_type = 'customer' AND mktsegment = 'BUILDING' AND nationkey = 5")
 ql("ql_any_type", "MATCH (x) WHERE x.confidence >= 0.95 RETURN x.id, x.type", WITH_ENT + "SELECT entity_id AS id, entity_type AS type FROM ent WHERE confidence >= 0.95e0")
-ql("ql_arithmetic", "MATCH (p:part) WHERE p.retailprice * 2 - p.size > 2500 RETURN p.id, ROUND(p.retailprice / 2 + 1, 4) AS half", WITH_ENT + "SELECT entity_id AS id, round(retailprice / 2 + 1, 4) AS half FROM ent WHERE entity_type = 'part' AND retailprice * 2 - size > 2500")
+ql("ql_arithmetic", "MATCH (p:part) WHERE p.retailprice * 2 - p.size > 1900 RETURN p.id, ROUND(p.retailprice / 2 + 1, 4) AS half, p.brand + '/' + p.size AS label, p.size / 0 AS nothing", WITH_ENT + "SELECT entity_id AS id, round(retailprice / 2 + 1, 4) AS half, brand || '/' || size AS label, CAST(NULL AS DOUBLE) AS nothing FROM ent WHERE entity_type = 'part' AND retailprice * 2 - size > 1900")
 ql("ql_distinct", "MATCH (c:customer) RETURN DISTINCT c.mktsegment, c.nationkey", WITH_ENT + "SELECT DISTINCT mktsegment, nationkey FROM ent WHERE entity_type = 'customer'")
 ql("ql_count", "MATCH (c:customer) WHERE c.acctbal > 0 RETURN COUNT(*) AS n", WITH_ENT + "SELECT count(*) AS n FROM ent WHERE entity_type = 'customer' AND acctbal > 0")
 ql("ql_agg_global", "MATCH (c:customer) RETURN COUNT(c) AS n, ROUND(SUM(c.acctbal), 2) AS total, ROUND(AVG(c.acctbal), 4) AS mean, MIN(c.acctbal) AS low, MAX(c.acctbal) AS high", WITH_ENT + "SELECT count(*) AS n, round(sum(acctbal), 2) AS total, round(avg(acctbal), 4) AS mean, min(acctbal) AS low, max(acctbal) AS high FROM ent WHERE entity_type = 'customer'")
@@ -84,7 +84,7 @@ ql("ql_hop1", "MATCH (c:customer)-[:customer_nation]->(n:nation) WHERE c.acctbal
 ql("ql_hop2", "MATCH (c:customer)-[:customer_nation]->(n:nation)-[:in_region]->(r:region) RETURN r.name, COUNT(*) AS n", G + "SELECT r.name, count(*) AS n FROM ent c JOIN rel a ON a.source_id = c.entity_id AND a.rel_type = 'customer_nation' JOIN rel b ON b.source_id = a.target_id AND b.rel_type = 'in_region' JOIN ent r ON r.entity_id = b.target_id WHERE c.entity_type = 'customer' GROUP BY 1", GRAPH_TYPES, EDGES2)
 ql("ql_hop3_mixed_dir", "MATCH (c:customer)-[:customer_nation]->(n:nation)<-[:supplier_nation]-(s:supplier) WHERE c.acctbal > 9800 RETURN c.id AS c_id, s.id AS s_id", G + "SELECT c.entity_id AS c_id, b.source_id AS s_id FROM ent c JOIN rel a ON a.source_id = c.entity_id AND a.rel_type = 'customer_nation' JOIN rel b ON b.target_id = a.target_id AND b.rel_type = 'supplier_nation' WHERE c.entity_type = 'customer' AND c.acctbal > 9800", GRAPH_TYPES, EDGES2)
 ql("ql_optional", "MATCH (n:nation) OPTIONAL MATCH (n)<-[:supplier_nation]-(s:supplier) RETURN n.name, COUNT(s) AS suppliers", G + "SELECT n.name, count(r.source_id) AS suppliers FROM ent n LEFT JOIN rel r ON r.target_id = n.entity_id AND r.rel_type = 'supplier_nation' WHERE n.entity_type = 'nation' GROUP BY 1", GRAPH_TYPES, EDGES2)
-ql("ql_not_exists", "MATCH (n:nation) WHERE NOT EXISTS { (n)<-[:supplier_nation]-(s:supplier) } RETURN n.id", G + "SELECT entity_id AS id FROM ent n WHERE entity_type = 'nation' AND NOT EXISTS (SELECT 1 FROM rel r WHERE r.target_id = n.entity_id AND r.rel_type = 'supplier_nation')", GRAPH_TYPES, EDGES2)
+ql("ql_not_exists", "MATCH (n:nation) WHERE NOT EXISTS { (n)<-[:supplier_nation]-(s:supplier {nationkey: 3}) } RETURN n.id", G + "SELECT entity_id AS id FROM ent n WHERE entity_type = 'nation' AND NOT EXISTS (SELECT 1 FROM rel r JOIN ent s ON s.entity_id = r.source_id AND s.nationkey = 3 WHERE r.target_id = n.entity_id AND r.rel_type = 'supplier_nation')", GRAPH_TYPES, EDGES2)
 ql("ql_exists", "MATCH (n:nation) WHERE EXISTS { (n)<-[:supplier_nation]-(s:supplier) } AND n.lat > 0 RETURN n.id", G + "SELECT entity_id AS id FROM ent n WHERE entity_type = 'nation' AND lat > 0 AND EXISTS (SELECT 1 FROM rel r WHERE r.target_id = n.entity_id AND r.rel_type = 'supplier_nation')", GRAPH_TYPES, EDGES2)
 ql("ql_with_stage", "MATCH (c:customer)-[:customer_nation]->(n:nation) WITH n, COUNT(*) AS k, ROUND(SUM(c.acctbal), 2) AS total WHERE k > 50 RETURN n.name, k, total ORDER BY k DESC", G + "SELECT n.name, count(*) AS k, round(sum(c.acctbal), 2) AS total FROM ent c JOIN rel r ON r.source_id = c.entity_id AND r.rel_type = 'customer_nation' JOIN ent n ON n.entity_id = r.target_id WHERE c.entity_type = 'customer' GROUP BY n.name HAVING count(*) > 50", GRAPH_TYPES, EDGES2)
 ql("ql_undirected", "MATCH (n:nation)-[:in_region]-(r:region) RETURN r.name, COUNT(*) AS n", G + "SELECT r.name, count(*) AS n FROM ent r JOIN rel e ON e.target_id = r.entity_id AND e.rel_type = 'in_region' WHERE r.entity_type = 'region' GROUP BY 1", GRAPH_TYPES, EDGES2)
@@ -212,7 +212,7 @@ def _(spark, d):
     return graph.hops(_both(spark, d), "nation-3", 3)
 
 
-_PATHS = f"WITH RECURSIVE {BOTH}, e AS (SELECT DISTINCT source_id, target_id FROM rel), w(nodes, cur, hops) AS (SELECT [source_id, target_id], target_id, 1 FROM e WHERE source_id = 'supplier-1' UNION ALL SELECT list_append(w.nodes, e.target_id), e.target_id, w.hops + 1 FROM w JOIN e ON e.source_id = w.cur WHERE w.hops < 4 AND w.cur <> 'region-2' AND NOT list_contains(w.nodes, e.target_id)) SELECT hops, array_to_string(nodes, '>') AS nodes FROM w WHERE cur = 'region-2'"
+_PATHS = f"WITH RECURSIVE {BOTH}, e AS (SELECT DISTINCT source_id, target_id FROM rel), w(nodes, cur, hops) AS (SELECT [source_id, target_id], target_id, 1 FROM e WHERE source_id = 'supplier-1' UNION ALL SELECT list_append(w.nodes, e.target_id), e.target_id, w.hops + 1 FROM w JOIN e ON e.source_id = w.cur WHERE w.hops < 4 AND w.cur <> 'region-0' AND NOT list_contains(w.nodes, e.target_id)) SELECT hops, array_to_string(nodes, '>') AS nodes FROM w WHERE cur = 'region-0'"
 
 
 def _small(spark, d):
@@ -222,12 +222,12 @@ def _small(spark, d):
 
 @register("graph_paths", _PATHS.replace("w.hops < 4", "w.hops < 3"))
 def _(spark, d):
-    return graph.simple_paths(_small(spark, d), "supplier-1", "region-2", 3)
+    return graph.simple_paths(_small(spark, d), "supplier-1", "region-0", 3)
 
 
-@register("graph_shortest", f"WITH RECURSIVE {BOTH}, e AS (SELECT DISTINCT source_id, target_id FROM rel), w(nodes, cur, hops) AS (SELECT [source_id, target_id], target_id, 1 FROM e WHERE source_id = 'customer-1' UNION ALL SELECT list_append(w.nodes, e.target_id), e.target_id, w.hops + 1 FROM w JOIN e ON e.source_id = w.cur WHERE w.hops < 4 AND w.cur <> 'region-0' AND NOT list_contains(w.nodes, e.target_id)) SELECT hops, array_to_string(nodes, '>') AS nodes FROM w WHERE cur = 'region-0' ORDER BY hops, nodes LIMIT 1")
+@register("graph_shortest", f"WITH RECURSIVE {BOTH}, e AS (SELECT DISTINCT source_id, target_id FROM rel), w(nodes, cur, hops) AS (SELECT [source_id, target_id], target_id, 1 FROM e WHERE source_id = 'customer-1' UNION ALL SELECT list_append(w.nodes, e.target_id), e.target_id, w.hops + 1 FROM w JOIN e ON e.source_id = w.cur WHERE w.hops < 4 AND w.cur <> 'region-4' AND NOT list_contains(w.nodes, e.target_id)) SELECT hops, array_to_string(nodes, '>') AS nodes FROM w WHERE cur = 'region-4' ORDER BY hops, nodes LIMIT 1")
 def _(spark, d):
-    return graph.shortest_path(_both(spark, d), "customer-1", "region-0", 4)
+    return graph.shortest_path(_both(spark, d), "customer-1", "region-4", 4)
 
 
 @register("graph_edge_match", f"WITH ent AS ({ENTG}), rel AS ({RELG}) SELECT source_id, rel_type, target_id, s.name AS source_name, t.name AS target_name FROM rel JOIN ent s ON s.entity_id = source_id JOIN ent t ON t.entity_id = target_id WHERE rel_type = 'supplier_nation'")
@@ -245,9 +245,10 @@ def _(spark, d):
     return ents(spark, d).where("entity_type = 'supplier'").select("entity_id", F.round(geo.bearing(F.col("lat"), F.col("lon"), *AMSTERDAM), 4).alias("bearing"))
 
 
-@register("geo_destination", WITH_ENT + "SELECT entity_id, round(degrees(asin(sin(radians(lat)) * cos(100 / 6371.0e0) + cos(radians(lat)) * sin(100 / 6371.0e0) * cos(radians(45.0e0)))), 4) + 0.0 AS lat2 FROM ent WHERE entity_type = 'supplier'")
+@register("geo_destination", WITH_ENT + "SELECT entity_id, round(degrees(asin(sin(radians(lat)) * cos(100 / 6371.0e0) + cos(radians(lat)) * sin(100 / 6371.0e0) * cos(radians(45.0e0)))), 4) + 0.0 AS lat2, round(lon + degrees(atan2(sin(radians(45.0e0)) * sin(100 / 6371.0e0) * cos(radians(lat)), cos(100 / 6371.0e0) - sin(radians(lat)) * (sin(radians(lat)) * cos(100 / 6371.0e0) + cos(radians(lat)) * sin(100 / 6371.0e0) * cos(radians(45.0e0))))), 4) + 0.0 AS lon2 FROM ent WHERE entity_type = 'supplier'")
 def _(spark, d):
-    return ents(spark, d).where("entity_type = 'supplier'").select("entity_id", (F.round(geo.destination(F.col("lat"), F.col("lon"), 45.0, 100.0)[0], 4) + 0.0).alias("lat2"))
+    lat, lon = geo.destination(F.col("lat"), F.col("lon"), 45.0, 100.0)
+    return ents(spark, d).where("entity_type = 'supplier'").select("entity_id", (F.round(lat, 4) + 0.0).alias("lat2"), (F.round(lon, 4) + 0.0).alias("lon2"))
 
 
 T = f"WITH t AS ({TRK}) "
