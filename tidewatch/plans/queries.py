@@ -369,29 +369,17 @@ def _(spark, d):
 NORM = "upper(trim(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')))"
 
 
-@register("watch_exact", f"SELECT a.entity_id, b.c_custkey AS list_id FROM ({ENT}) a JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 7 = 0) b ON {NORM.format('a.name')} = {NORM.format('replace(b.c_name, chr(35), chr(45))')}")
-def _(spark, d):
-    listed = model.read(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("list_id"), F.regexp_replace("c_name", "#", "-").alias("list_name"))
-    return rules.exact_screen(ents(spark, d), listed)
-
-
-@register("watch_exact_all", f"SELECT a.entity_id, b.c_custkey AS list_id FROM ({ENT}) a JOIN customer b ON {NORM.format('a.name')} = {NORM.format('replace(b.c_name, chr(35), chr(45))')}")
+@register("watch_exact", f"SELECT a.entity_id, b.c_custkey AS list_id FROM ({ENT}) a JOIN customer b ON {NORM.format('a.name')} = {NORM.format('replace(b.c_name, chr(35), chr(45))')}")
 def _(spark, d):
     listed = model.read(spark, d, "customer").select(F.col("c_custkey").alias("list_id"), F.regexp_replace("c_name", "#", "-").alias("list_name"))
     return rules.exact_screen(ents(spark, d), listed)
 
 
-@register("watch_fuzzy", f"WITH a AS (SELECT 'supplier-' || s_suppkey AS entity_id, {NORM.format('s_name')} AS n FROM supplier), b AS (SELECT c_custkey AS list_id, {NORM.format('c_name')} AS m FROM customer WHERE c_custkey % 29 = 0), ag AS (SELECT entity_id, n, unnest(list_distinct([substr(n, CAST(i AS BIGINT), 3) for i in range(1, length(n) - 1)])) AS t FROM a WHERE length(n) >= 4), q AS (SELECT entity_id, count(*) AS q FROM ag GROUP BY 1), bg AS (SELECT list_id, m, unnest(list_distinct([substr(m, CAST(i AS BIGINT), 3) for i in range(1, length(m) - 1)])) AS t FROM b WHERE length(m) >= 3), h AS (SELECT entity_id, n, list_id, m, count(*) AS c FROM ag JOIN bg USING (t) GROUP BY 1, 2, 3, 4), s AS (SELECT entity_id, list_id, CAST(round((1 - levenshtein(n, m) / CAST(greatest(strlen(n), strlen(m)) AS DOUBLE)) * 100) AS INTEGER) AS score FROM h JOIN q USING (entity_id) WHERE c >= ceil(q * 0.3)) SELECT entity_id, list_id, score, CASE WHEN score = 100 THEN 'confirmed' WHEN score >= 90 THEN 'probable' ELSE 'possible' END AS risk FROM s WHERE score >= 60")
+@register("watch_fuzzy", f"WITH a AS (SELECT 'supplier-' || s_suppkey AS entity_id, {NORM.format('s_name')} AS n FROM supplier), b AS (SELECT c_custkey AS list_id, {NORM.format('c_name')} AS m FROM customer), ag AS (SELECT entity_id, n, unnest(list_distinct([substr(n, CAST(i AS BIGINT), 3) for i in range(1, length(n) - 1)])) AS t FROM a WHERE length(n) >= 4), q AS (SELECT entity_id, count(*) AS q FROM ag GROUP BY 1), bg AS (SELECT list_id, m, unnest(list_distinct([substr(m, CAST(i AS BIGINT), 3) for i in range(1, length(m) - 1)])) AS t FROM b WHERE length(m) >= 3), h AS (SELECT entity_id, n, list_id, m, count(*) AS c FROM ag JOIN bg USING (t) GROUP BY 1, 2, 3, 4), s AS (SELECT entity_id, list_id, CAST(round((1 - levenshtein(n, m) / CAST(greatest(strlen(n), strlen(m)) AS DOUBLE)) * 100) AS INTEGER) AS score FROM h JOIN q USING (entity_id) WHERE c >= ceil(q * 0.3)) SELECT entity_id, list_id, score, CASE WHEN score = 100 THEN 'confirmed' WHEN score >= 90 THEN 'probable' ELSE 'possible' END AS risk FROM s WHERE score >= 60")
 def _(spark, d):
     names = model.entities(spark, d, ("supplier",))
-    listed = model.read(spark, d, "customer").where("c_custkey % 29 = 0").select(F.col("c_custkey").alias("list_id"), F.col("c_name").alias("list_name"))
-    return rules.fuzzy_screen(names, listed, 60)
-
-
-@register("watch_fuzzy_all")
-def _(spark, d):
     listed = model.read(spark, d, "customer").select(F.col("c_custkey").alias("list_id"), F.col("c_name").alias("list_name"))
-    return rules.fuzzy_screen(model.entities(spark, d, ("supplier",)), listed, 60)
+    return rules.fuzzy_screen(names, listed, 60)
 
 
 @register("resolve_names", "WITH s AS (SELECT s_suppkey AS entity_id, s_nationkey AS block, list_distinct(string_split(lower(s_name), '')) AS x FROM supplier) SELECT a.entity_id AS a, b.entity_id AS b, round(len(list_intersect(a.x, b.x)) / CAST(len(list_distinct(list_concat(a.x, b.x))) AS DOUBLE), 6) AS jaccard FROM s a JOIN s b ON a.block = b.block AND a.entity_id < b.entity_id WHERE round(len(list_intersect(a.x, b.x)) / CAST(len(list_distinct(list_concat(a.x, b.x))) AS DOUBLE), 6) > 0.8")
