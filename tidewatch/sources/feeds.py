@@ -39,19 +39,26 @@ def sbs(lines: DataFrame) -> DataFrame:
     return _observed(kept, F.concat(F.lit("icao:"), at(4)), F.lit("aircraft"), num(14), num(15), props)
 
 
-def cef(lines: DataFrame) -> DataFrame:
-    """Common event format: seven header fields, then key=value extensions; backslash escapes pipe, equals and itself."""
+def cef_columns(text: Column) -> tuple[Column, dict[str, Column], Column, Column]:
+    """Whether a text holds a common event, its seven header fields, its extensions as a map, and its severity as a number."""
     field = r"((?:[^|\\]|\\.)*+)\|"
     pattern = r"CEF:\s*([0-9]+)\|" + field * 6 + r"(.*)$"
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\n", "\n"), r"\\([=|\\])", "$1")
-    part = lambda i: plain(F.regexp_extract("value", pattern, i))
-    rows = lines.where(F.col("value").rlike(pattern)).select(*[part(i).alias(n) for i, n in enumerate(["version", "vendor", "product", "device_version", "signature", "name", "raw"], 1)], F.regexp_extract("value", pattern, 8).alias("ext"))
+    part = {n: plain(F.regexp_extract(text, pattern, i)) for i, n in enumerate(["version", "vendor", "product", "device_version", "signature", "name", "raw"], 1)}
     pair = r"(\w+)=((?:\\.|[^=\\])*?)(?=\s+\w+=|\s*$)"
-    keys, values = F.regexp_extract_all("ext", F.lit(pair), 1), F.regexp_extract_all("ext", F.lit(pair), 2)
+    rest = F.regexp_extract(text, pattern, 8)
+    keys, values = F.regexp_extract_all(rest, F.lit(pair), 1), F.regexp_extract_all(rest, F.lit(pair), 2)
     ext = _last_wins(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), plain(v).alias("value"))))
-    rows = rows.withColumn("ext", ext)
-    word = F.lower("raw")
-    level = F.coalesce(F.col("raw").try_cast("int"), F.when(word == "low", 2).when(word == "medium", 5).when(word == "high", 8).when(word == "very-high", 10))
+    word = F.lower(part["raw"])
+    level = F.coalesce(part["raw"].try_cast("int"), F.when(word == "low", 2).when(word == "medium", 5).when(word == "high", 8).when(word == "very-high", 10))
+    return text.rlike(pattern), part, ext, level
+
+
+def cef(lines: DataFrame) -> DataFrame:
+    """Common event format: seven header fields, then key=value extensions; backslash escapes pipe, equals and itself."""
+    found, part, ext, level = cef_columns(F.col("value"))
+    rows = lines.where(found).select(*[c.alias(n) for n, c in part.items()], ext.alias("ext"), level.alias("level"))
+    level = F.col("level")
     named = F.when(level <= 3, "Low").when(level <= 6, "Medium").when(level <= 8, "High").when(level <= 10, "Very-High").otherwise("Unknown")
     known = {"source_address": "src", "destination_address": "dst", "source_port": "spt", "destination_port": "dpt", "action": "act", "message": "msg", "category": "cat"}
     head = _filled(cef_version=F.col("version"), device_vendor=F.col("vendor"), device_product=F.col("product"), device_version=F.col("device_version"), signature_id=F.col("signature"), event_name=F.col("name"), severity=named, severity_raw=F.col("raw"), **{k: F.element_at("ext", v) for k, v in known.items()})
