@@ -106,8 +106,22 @@ def closest_approach(points: DataFrame, horizon_min: int, threshold_nm: float, c
 
 
 def kinematic_features(tracks: DataFrame, history: int = 32) -> DataFrame:
-    """Per point over the last `history` points (five at least): speed z-score, distance to the centroid, hour as a circle."""
+    """Per point over the last `history` points (five at least): speed z-score, mean turn between bearings, share of the
+    four points before within 200 m, hour as a circle, distance to the centroid."""
     w = _w().rowsBetween(-(history - 1), 0)
-    r = tracks.withColumn("n", F.count("*").over(w)).withColumn("mean", F.avg("speed").over(w)).withColumn("std", F.stddev_pop("speed").over(w)).withColumn("clat", F.avg("lat").over(w)).withColumn("clon", F.avg("lon").over(w)).where("n >= 5")
+    lat, lon = F.col("lat"), F.col("lon")
+    r = tracks.withColumn("way", geo.bearing(F.lag("lat").over(_w()), F.lag("lon").over(_w()), lat, lon))
+    r = r.withColumn("turn", F.abs(geo.heading_diff(F.lag("way").over(_w()), F.col("way"))))
+    near = F.lit(0)
+    for k in range(1, 5):
+        near = near + F.when(geo.haversine_km(lat, lon, F.lag("lat", k).over(_w()), F.lag("lon", k).over(_w())) < 0.2, 1).otherwise(0)
+    over = {"n": F.count("*"), "mean": F.avg("speed"), "std": F.stddev_pop("speed"), "clat": F.avg("lat"), "clon": F.avg("lon")}
+    # the first two points of a window have no turn that lies within it
+    turned = F.avg("turn").over(_w().rowsBetween(-(history - 1) + 2, 0))
+    r = r.withColumns({**{k: c.over(w) for k, c in over.items()}, "jerk": turned, "dwell_ratio": near / 4}).where("n >= 5")
     angle = F.hour("ts") * (2 * 3.141592653589793 / 24)
-    return r.select("entity_id", "event_id", F.round(F.when(F.col("std") > 1e-6, (F.col("speed") - F.col("mean")) / F.col("std")).otherwise(0.0) + 0.0, 4).alias("speed_z"), F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")), 4).alias("centroid_km"), (F.round(F.sin(angle), 4) + 0.0).alias("hour_sin"), (F.round(F.cos(angle), 4) + 0.0).alias("hour_cos"))
+    z = F.when(F.col("std") > 1e-6, (F.col("speed") - F.col("mean")) / F.col("std")).otherwise(0.0)
+    fine = lambda c: F.round(c, 4) + 0.0
+    return r.select(
+        "entity_id", "event_id", fine(z).alias("speed_z"), fine(F.col("jerk")).alias("heading_jerk"), "dwell_ratio",
+        fine(F.sin(angle)).alias("hour_sin"), fine(F.cos(angle)).alias("hour_cos"), fine(geo.haversine_km(lat, lon, F.col("clat"), F.col("clon"))).alias("centroid_km"))
