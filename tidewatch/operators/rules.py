@@ -184,3 +184,90 @@ def quantile_envelope(points: DataFrame, value: str, keep: int = 2048, warm_up:
     span = F.greatest(at(high) - at(low), F.lit(1e-9))
     out = F.greatest(at(low) - F.col(value), F.col(value) - at(high), F.lit(0.0)) / span
     return r.select("entity_id", "event_id", F.round(F.least(out * 100, F.lit(100.0)), 4).alias("score"))
+
+
+def monitor(states: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
+    """(rule_id, entity_id, kind, observed): all enabled rules of a table over the latest states.
+
+    rules: (rule_id, enabled, entity_type or *, kind, property, op, value, lat, lon, radius_km,
+    seconds); kinds: threshold, geofence, stale, speed_jump.  states: (entity_id, entity_type, lat,
+    lon, ts, previous_speed, speed, properties MAP).  A rule that lacks what its kind needs, or
+    whose property is no number, raises nothing.  Rules join by type, those for * over all
+    states; the table of rules is what people write by hand.
+    """
+    s = states.withColumn("_type", F.explode(F.array(F.lower("entity_type"), F.lit("*"))))
+    r = rules.where("enabled").select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
+    both = s.join(r, F.col("_type") == F.lower("r_entity_type"))
+    seen = F.element_at("properties", F.col("r_property")).try_cast("double")
+    met = F.lit(False)
+    for op, test in OPS.items():
+        near = F.abs(seen - F.col("r_value")) < 1e-9
+        met = F.when(F.col("r_op") == op, near if op == "=" else ~near if op == "!=" else test(seen, F.col("r_value"))).otherwise(met)
+    away = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    age = (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("ts")).cast("double")
+    jump = F.abs(F.col("speed") - F.col("previous_speed"))
+    kind = F.col("r_kind")
+    observed = F.when(kind == "threshold", seen).when(kind == "geofence", away).when(kind == "stale", age).when(kind == "speed_jump", jump)
+    hit = F.when(kind == "threshold", met).when(kind == "geofence", away <= F.col("r_radius_km")).when(kind == "stale", age > F.col("r_seconds")).when(kind == "speed_jump", jump > F.col("r_value"))
+    return both.where(hit).select(F.col("r_rule_id").alias("rule_id"), "entity_id", F.col("r_kind").alias("kind"), F.round(observed, 6).alias("observed"))
+
+
+def fence_transitions(points: DataFrame, fence: str, lat: float, lon: float, radius_km: float, mode: str = "both") -> DataFrame:
+    """(fence, entity_id, event_id, transition): points at which an entity enters or leaves a circle; the first point inside enters."""
+    inside = geo.point_in_radius(F.col("lat"), F.col("lon"), lat, lon, radius_km)
+    w = Window.partitionBy("entity_id").orderBy("ts", "event_id")
+    r = points.withColumn("_in", F.coalesce(inside, F.lit(False))).withColumn("_was", F.coalesce(F.lag("_in").over(w), F.lit(False))).where("_in <> _was")
+    r = r.select(F.lit(fence).alias("fence"), "entity_id", "event_id", F.when(F.col("_in"), "enter").otherwise("exit").alias("transition"))
+    return r if mode == "both" else r.where(F.col("transition") == mode)
+
+
+def open_alerts(alerts: DataFrame, acks: DataFrame) -> DataFrame:
+    """Alerts that nobody has acknowledged, newest first; ties by id."""
+    return alerts.join(acks.select("alert_id").distinct(), "alert_id", "left_anti").orderBy(F.col("ts").desc(), "alert_id")
+
+
+def alert_events(alerts: DataFrame) -> DataFrame:
+    """Alerts (alert_id, rule, entity_id, ts, ...) as rows of the event log."""
+    data = F.to_json(F.struct(*[c for c in alerts.columns if c not in ("entity_id", "ts")]))
+    return alerts.select(F.concat(F.lit("alert-"), F.col("alert_id").cast("string")).alias("event_id"), "entity_id", F.lit("alert").alias("event_type"), "ts", data.alias("data"))
+
+
+def by_level(scores: DataFrame, least: str) -> DataFrame:
+    """Scores of a level or above, highest first; ties by id."""
+    levels = ["green", "yellow", "orange", "red"]
+    return scores.where(F.col("level").isin(levels[levels.index(least):])).orderBy(F.col("score").desc(), "entity_id")
+
+
+def threat_share(scores: DataFrame) -> DataFrame:
+    """(n, percent): all scores, and the percentage that is orange or red."""
+    high = F.count_if(F.col("level").isin("orange", "red"))
+    return scores.agg(F.count("*").alias("n"), F.round(F.coalesce(F.try_divide(high * 100.0, F.count("*")), F.lit(0.0)), 4).alias("percent"))
+
+
+def append_audit(log: DataFrame, new: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
+    """Log (seq, previous_hash, content_hash, ...) with new rows chained to its end in their order.
+
+    A chain is serial: its rows pass one task as a stream, with the last hash alone held.  Chains of
+    independent writers are therefore logs of their own.
+    """
+    import hashlib
+
+    last = log.agg(F.max(F.struct("seq", "content_hash")).alias("x")).first()["x"]
+    seq0, hash0 = (last["seq"], last["content_hash"]) if last else (0, "")
+    columns = log.columns
+    rest = [c for c in columns if c not in ("seq", "previous_hash", "content_hash")]
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seq, before = seq0, hash0
+        for pdf in batches:
+            out = []
+            for row in pdf[rest].to_dict("records"):
+                seq += 1
+                row |= {"seq": seq, "previous_hash": before}
+                text = "|".join("" if row[f] is None else str(row[f]) for f in ["previous_hash", *fields])
+                before = hashlib.sha256(text.encode()).hexdigest()
+                out.append(row | {"content_hash": before})
+            yield pd.DataFrame(out, columns=columns)
+
+    tail = new.select(*rest, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).repartition(1).sortWithinPartitions(*[f"_o{i}" for i in range(len(order))])
+    return log.unionByName(tail.mapInPandas(chain, log.schema))

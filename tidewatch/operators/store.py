@@ -95,3 +95,61 @@ def geojson(entities: DataFrame) -> DataFrame:
 
 def top_per(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+
+
+def events_of(events: DataFrame, entity_id, limit: int) -> DataFrame:
+    """Events of one entity, newest first; ties by id."""
+    return events.where(F.col("entity_id") == entity_id).orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(limit)
+
+
+def count_entities(entities: DataFrame, entity_type: str | None = None) -> DataFrame:
+    """(n): active entities, of a type (any letter case) or of all."""
+    rows = entities.where("is_active")
+    return (rows.where(F.lower("entity_type") == entity_type.lower()) if entity_type else rows).agg(F.count("*").alias("n"))
+
+
+def page(entities: DataFrame, entity_type: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of `by_type` with the count of all its pages' rows on each row."""
+    return by_type(entities, entity_type, limit, offset).crossJoin(F.broadcast(count_entities(entities, entity_type).withColumnRenamed("n", "total")))
+
+
+def find(entities: DataFrame, near: tuple[float, float, float] | None = None, text: str = "", entity_type: str | None = None) -> DataFrame:
+    """Search by place (lat, lon, radius in km) or else by text."""
+    if near is None:
+        return search(entities, text, entity_type)
+    lat, lon, radius = near
+    if not (-90 <= lat <= 90 and -180 <= lon <= 180 and radius > 0):
+        raise ValueError(f"not a place and radius: {near}")
+    rows = in_radius(entities, lat, lon, radius)
+    return rows.where(F.lower("entity_type") == entity_type.lower()) if entity_type else rows
+
+
+def as_json(rows: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(key, value): each row as a JSON object, nulls left out."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def as_csv(rows: DataFrame) -> DataFrame:
+    """(value): each row as a CSV line; cells with commas, quotes or line ends are quoted, nulls empty."""
+
+    def cell(c: str) -> Column:
+        v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(v.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+    return rows.select(F.concat_ws(",", *[cell(c) for c in rows.columns]).alias("value"))
+
+
+def expire(rows: DataFrame, as_of: Column, days: int, ts: str = "ts") -> DataFrame:
+    """Rows that the time to live still keeps."""
+    return rows.where(F.col(ts) >= as_of.cast("timestamp") - F.make_dt_interval(F.lit(days)))
+
+
+def source_status(sources: DataFrame, beats: DataFrame, as_of: Column, silent_s: int = 300) -> DataFrame:
+    """Data sources (source_id, enabled) with their heartbeats (source_id, ts, events, errors): totals and a status.
+
+    disabled, unknown (no heartbeat), error (more errors than events), stale (silent too long), or healthy.
+    """
+    seen = beats.groupBy("source_id").agg(F.max("ts").alias("last_seen"), F.sum("events").alias("events"), F.sum("errors").alias("errors"))
+    age = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp("last_seen")
+    status = F.when(~F.col("enabled"), "disabled").when(F.col("last_seen").isNull(), "unknown").when(F.col("errors") > F.col("events"), "error").when(age > silent_s, "stale").otherwise("healthy")
+    return sources.join(seen, "source_id", "left").select("source_id", "last_seen", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("errors", F.lit(0)).alias("errors"), status.alias("status"))

@@ -1,12 +1,15 @@
 """The MATCH/RETURN language, compiled to DataFrames.
 
-query   := MATCH pattern {, pattern} {OPTIONAL MATCH pattern} [WHERE expr]
-           {WITH items [WHERE expr]} RETURN [DISTINCT] items [GROUP BY names] [HAVING expr]
-           [ORDER BY expr [ASC|DESC] {, ...}] [LIMIT n]
+query   := MATCH pattern {, pattern} {OPTIONAL MATCH pattern} [AT TIME instant] [WHERE expr]
+           {WITH items [WHERE expr]} RETURN [DISTINCT] items [SINCE instant] [GROUP BY names]
+           [HAVING expr] [ORDER BY expr [ASC|DESC] {, ...}] [LIMIT n]
+instant := sums of now(), today(), timestamp("...") and interval(n, days | hours | minutes | seconds)
 pattern := node {edge node};  node := (v[:Type] [{k: literal, ...}])
 edge    := -[[r][:TYPE]]-> | <-[[r][:TYPE]]- | -[[r][:TYPE]]-
 Input that is left over is a syntax error, a missing property is NULL, and ordering
 and limits apply after filters and aggregates.  Non-aggregate items group implicitly.
+AT TIME reads every entity's last state at an instant, SINCE all its states from one on;
+both need an engine with a history.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geo
+from ..operators import store
 
 TOKEN = re.compile(r"\s*(?:(?P<num>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<str>\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|(?P<word>[A-Za-z_]\w*)|(?P<op><=|>=|<>|!=|->|<-|[-+*/=<>(){}\[\],.:%]))", re.S)
 AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "COLLECT"}
-BUILT_IN = {"id": "entity_id", "type": "entity_type"}
+BUILT_IN = {"id": "entity_id", "type": "entity_type", "event_time": "ts"}
+UNITS = {"DAY": 86_400, "HOUR": 3_600, "MINUTE": 60, "SECOND": 1}
 
 
 class QuerySyntaxError(ValueError):
@@ -53,6 +58,8 @@ class Query:
     having: tuple | None
     order: list
     limit: int | None
+    at: tuple | None = None
+    since: tuple | None = None
 
 
 class Parser:
@@ -96,6 +103,10 @@ class Parser:
         while self.take("OPTIONAL"):
             self.need("MATCH")
             optional.append(self.pattern())
+        at = since = None
+        if self.take("AT"):
+            self.need("TIME")
+            at = self.add()
         where = self.expr() if self.take("WHERE") else None
         stages = []
         while self.take("WITH"):
@@ -106,6 +117,8 @@ class Parser:
         items = self.items()
         group = having = limit = None
         order = []
+        if self.take("SINCE"):
+            since = self.add()
         if self.take("GROUP"):
             self.need("BY")
             group = [self.expr()]
@@ -128,7 +141,7 @@ class Parser:
             limit = int(value)
         if self.i < len(self.tokens):
             raise QuerySyntaxError(f"unexpected {self.tokens[self.i][1]!r}")
-        return Query(patterns, optional, where, stages, items, distinct, group, having, order, limit)
+        return Query(patterns, optional, where, stages, items, distinct, group, having, order, limit, at, since)
 
     def pattern(self) -> list:
         out: list = [self.node()]
@@ -317,17 +330,39 @@ def _has_agg(e) -> bool:
 
 
 class Engine:
-    """entities: (entity_id, entity_type, name, lat, lon, ..., property columns); edges: (source_id, target_id, rel_type)."""
+    """entities: (entity_id, entity_type, name, lat, lon, ..., property columns); edges: (source_id, target_id, rel_type).
 
-    def __init__(self, entities: DataFrame, edges: DataFrame | None = None):
-        self.entities, self.edges = entities, edges
-        self.columns = {c.lower(): c for c in entities.columns}
+    history: states of entities with a time `ts`; of equal times the greater following columns
+    win.  now: the instant of now(), the start of the query where it is not given.
+    """
+
+    def __init__(self, entities: DataFrame, edges: DataFrame | None = None, history: DataFrame | None = None, now=None):
+        self.entities, self.edges, self.history, self.now = entities, edges, history, now
 
     def run(self, text: str) -> DataFrame:
         q = parse(text)
+        if q.at is not None or q.since is not None:
+            return self._in_time(q)._run(q)
+        return self._run(q)
+
+    def _in_time(self, q: Query) -> Engine:
+        if self.history is None:
+            raise ValueError("this engine has no history")
+        rows = self.history
+        if q.at is not None:
+            rows = store.as_of(rows, self._instant(q.at))
+        if q.since is not None:
+            rows = rows.where(F.col("ts") >= self._instant(q.since))
+        return Engine(rows, self.edges, self.history, self.now)
+
+    def _instant(self, e) -> Column:
+        return self._expr(self.history, e).cast("timestamp")
+
+    def _run(self, q: Query) -> DataFrame:
         df, bound = None, set()
+        near = self._near_pairs(q.where)
         for p in q.patterns:
-            df = self._match(df, p, bound, "inner")
+            df = self._placed(df, p, bound, near)
         for p in q.optional:
             df = self._match(df, p, bound, "left")
         if q.where is not None:
@@ -358,13 +393,51 @@ class Engine:
 
     def _scan(self, node: Node) -> DataFrame:
         rows = self.entities
+        columns = {c.lower(): c for c in rows.columns}
         if node.kind:
             rows = rows.where(F.lower("entity_type") == node.kind.lower())
         for k, v in node.props.items():
-            c = self.columns.get(BUILT_IN.get(k, k).lower())
+            c = columns.get(BUILT_IN.get(k, k).lower())
             rows = rows.where((F.col(c) == F.lit(v)) if c else F.lit(False))
         return rows.select(*[F.col(c).alias(f"{node.var}__{c}") for c in rows.columns])
 
+    def _near_pairs(self, e) -> list[tuple[str, str, float]]:
+        """(a, b, km) of the NEAR(a, b) that every row must meet."""
+        if e is None:
+            return []
+        if e[0] == "and":
+            return self._near_pairs(e[1]) + self._near_pairs(e[2])
+        if e[0] == "call" and e[1] == "NEAR" and len(e[2]) == 2 and "radius_km" in e[3] and all(a[0] == "var" for a in e[2]):
+            return [(e[2][0][1], e[2][1][1], float(e[3]["radius_km"]))]
+        return []
+
+    def _placed(self, df, pattern: list, bound: set, near: list):
+        """A further pattern that shares no variable joins by a grid over the unit sphere where a NEAR ties it to the others.
+
+        Cells are as wide as the radius; one side goes to its own cell, the other to all around it.
+        """
+        fresh = {n.var for n in pattern[::2]}
+        if df is None or fresh & bound:
+            return self._match(df, pattern, bound, "inner")
+        tie = next(((a, b, r) if a in bound else (b, a, r) for a, b, r in near if (a in bound and b in fresh) or (b in bound and a in fresh)), None)
+        if tie is None:
+            return self._match(df, pattern, bound, "inner")
+        a, b, km = tie
+        other = self._match(None, pattern, set(), "inner")
+        bound |= fresh
+        width = max(1.001 * km / geo.EARTH_KM, 1e-4)
+
+        def cells(rows: DataFrame, var: str, tag: str) -> DataFrame:
+            la, lo = F.radians(F.col(f"{var}__lat")), F.radians(F.col(f"{var}__lon"))
+            axes = (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))
+            return rows.withColumns({f"_{tag}{i}": F.floor(c / width) for i, c in enumerate(axes)})
+
+        left, right = cells(df, a, "p"), cells(other, b, "q")
+        for i in range(3):
+            right = right.withColumn(f"_q{i}", F.explode(F.array(*[F.col(f"_q{i}") + k for k in (-1, 0, 1)])))
+        on = [F.col(f"_p{i}") == F.col(f"_q{i}") for i in range(3)]
+        return left.join(right, on).drop(*[f"_{t}{i}" for t in "pq" for i in range(3)])
+
     def _match(self, df, pattern: list, bound: set, how: str):
         chain = df
         first = pattern[0]
@@ -398,13 +471,36 @@ class Engine:
         if e[0] == "and":
             return self._filter(self._filter(df, e[1]), e[2])
         if e[0] == "exists" or (e[0] == "not" and e[1][0] == "exists"):
-            pattern = (e if e[0] == "exists" else e[1])[1]
-            inner = self._match(None, pattern, set(), "inner")
-            shared = [n.var for n in pattern[::2] if f"{n.var}__entity_id" in df.columns]
-            keys = inner.select(*[F.col(f"{v}__entity_id").alias(f"_{v}") for v in shared]).distinct()
-            on = [F.col(f"{v}__entity_id") == F.col(f"_{v}") for v in shared]
+            keys, on = self._witnesses(df, (e if e[0] == "exists" else e[1])[1])
             return df.join(keys, on, "left_semi" if e[0] == "exists" else "left_anti")
-        return df.where(self._expr(df, e))
+        columns = df.columns
+        df, e = self._flagged(df, e)
+        return df.where(self._expr(df, e)).select(*[F.col(f"`{c}`") for c in columns])
+
+    def _witnesses(self, df: DataFrame, pattern: list) -> tuple[DataFrame, list[Column]]:
+        """The keys for which a pattern has a match, and how they meet the rows."""
+        inner = self._match(None, pattern, set(), "inner")
+        shared = [n.var for n in pattern[::2] if f"{n.var}__entity_id" in df.columns]
+        if not shared:
+            raise QuerySyntaxError("EXISTS shares no variable with the patterns before it")
+        keys = inner.select(*[F.col(f"{v}__entity_id").alias(f"_{v}") for v in shared]).distinct()
+        return keys, [F.col(f"{v}__entity_id") == F.col(f"_{v}") for v in shared]
+
+    def _flagged(self, df: DataFrame, e) -> tuple[DataFrame, tuple]:
+        """An EXISTS inside an expression as a column, true where the pattern has a match."""
+        if not isinstance(e, tuple):
+            return df, e
+        if e[:1] == ("exists",):
+            self.flags = getattr(self, "flags", 0) + 1
+            name = f"_exists{self.flags}"
+            keys, on = self._witnesses(df, e[1])
+            keys = keys.withColumn(name, F.lit(True))
+            return df.join(keys, on, "left").drop(*[c for c in keys.columns if c != name]), ("flag", name)
+        out = []
+        for x in e:
+            df, y = self._flagged(df, x)
+            out.append(y)
+        return df, tuple(out)
 
     def _column(self, df: DataFrame, var: str, prop: str) -> Column:
         own = {c.lower(): c for c in df.columns}
@@ -466,6 +562,8 @@ class Engine:
         if kind == "cmp":
             a, b = self._alike(df, e[2], e[3], x)
             return {"=": a == b, "!=": a != b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[e[1]]
+        if kind == "flag":
+            return F.coalesce(F.col(e[1]), F.lit(False))
         if kind == "null":
             return x(e[1]).isNull()
         if kind == "in":
@@ -520,7 +618,17 @@ class Engine:
                 lat2, lon2 = self._geometry(df, args[1])
                 return geo.haversine_km(lat, lon, lat2, lon2)
             return geo.haversine_km(lat, lon, float(named["lat"]), float(named["lon"]))
-        plain = {"LOWER": F.lower, "UPPER": F.upper, "ABS": F.abs, "LENGTH": F.length, "ROUND": lambda a, n=None: F.round(a, 0 if n is None else args[1][1])}
+        if name in ("NOW", "TODAY") and not args:
+            now = F.current_timestamp() if self.now is None else F.lit(self.now).cast("timestamp")
+            return now if name == "NOW" else F.date_trunc("day", now)
+        if name == "TIMESTAMP":
+            return x(args[0]).cast("timestamp")
+        if name == "INTERVAL":
+            unit = args[1][1].upper().rstrip("S") if len(args) == 2 and args[1][0] == "var" else ""
+            if unit not in UNITS:
+                raise QuerySyntaxError("an interval is (number, days | hours | minutes | seconds)")
+            return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), x(args[0]).cast("double") * UNITS[unit])
+        plain = {"LOWER": F.lower, "UPPER": F.upper, "ABS": F.abs, "LENGTH": F.length, "SIZE": lambda a: F.size(a), "ROUND": lambda a, n=None: F.round(a, 0 if n is None else args[1][1])}
         if name in plain:
             return plain[name](*[x(a) for a in args])
         if name == "COALESCE":

@@ -62,3 +62,18 @@ def retry(dead: DataFrame, parse: Callable[[DataFrame], tuple[DataFrame, DataFra
     good, bad = parse(rows.where(F.col("retry_count") < limit))
     spent = dead.where(F.col("retry_count") >= limit)
     return good, bad.withColumn("retry_count", F.col("retry_count") + 1).unionByName(spent, allowMissingColumns=True)
+
+
+def merged(log: DataFrame, key: str = "entity_id", ts: str = "ts") -> DataFrame:
+    """(key, ts, properties): the latest value of each single property of a change log, so a partial message keeps the rest."""
+    each = log.select(key, ts, F.explode("properties").alias("k", "v"))
+    last = each.groupBy(key, "k").agg(F.max_by("v", F.struct(ts, "v")).alias("v"))
+    props = last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
+    return log.groupBy(key).agg(F.max(ts).alias(ts)).join(props, key, "left")
+
+
+def outbox(changes: DataFrame, acks: DataFrame, peers: list[str]) -> DataFrame:
+    """(peer, seq, ...): changes that a peer has not yet acknowledged, after the greatest seq of its acks (peer, seq)."""
+    done = acks.groupBy("peer").agg(F.max("seq").alias("_done"))
+    wanted = changes.withColumn("peer", F.explode(F.array(*[F.lit(p) for p in peers])))
+    return wanted.join(F.broadcast(done.where(F.col("peer").isin(peers))), "peer", "left").where("_done is null or seq > _done").drop("_done")
