@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import feeds, messages
+from ..sources import feeds, messages, packets
 from . import model
 from .queries import ENT, register
 
@@ -133,3 +133,78 @@ def _(spark, d):
 def _(spark, d):
     table = model.read(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, " ").otherwise(ID).alias("key"), (F.col("event_id") % 90).cast("string").alias("y"), F.lit("x").alias("x"), F.concat("event_type", F.lit(" ")).alias("kind"))
     return feeds.delimited(table, "sensor", "key", "y", "x").select("entity_id", *_get("kind"), "lat")
+
+
+def _hex(column, size):
+    """A number as hex of `size` bytes, most significant first."""
+    return F.lpad(F.hex(column), size * 2, "0")
+
+
+def _little(column, size):
+    h = _hex(column, size)
+    return F.concat(*[F.substring(h, (size - 1 - i) * 2 + 1, 2) for i in range(size)])
+
+
+USER_IP, EVENT_IP = "'10.0.' || (user_id // 256) || '.' || (user_id % 256)", "'10.1.' || (event_id // 256) || '.' || (event_id % 256)"
+
+
+def _ips():
+    return _text("0A00", _hex("user_id", 2)), _text("0A01", _hex("event_id", 2))
+
+
+@register("source_netflow5", f"""
+SELECT 'netflow:' || {USER_IP} || ':443-' || {EVENT_IP} || ':' || (event_id % 60000) AS entity_id, CAST(event_id AS BIGINT) AS bytes, CASE WHEN event_id % 2 = 0 THEN 'TCP' ELSE 'UDP' END AS protocol, CAST(event_id % 100 AS BIGINT) AS duration_ms FROM events""")
+def _(spark, d):
+    a, b = _ips()
+    record = _text(a, b, "00000000", "00000000", "00000001", _hex("event_id", 4), "00000000", _hex(F.col("event_id") % 100, 4), "01BB", _hex(F.col("event_id") % 60000, 2), "0012", F.when(F.col("event_id") % 2 == 0, "06").otherwise("11"), "00", "00000000", "1818", "0000")
+    packet = F.unhex(_text("00050001", "00" * 20, record))
+    return packets.netflow5(_events(spark, d, packet)).select("entity_id", *_get("bytes", cast="long"), *_get("protocol"), *_get("duration_ms", cast="long"))
+
+
+@register("source_netflow9", f"""
+SELECT 'netflow:' || {USER_IP} || ':0-' || {EVENT_IP} || ':0' AS entity_id, CAST(event_id AS BIGINT) AS in_bytes FROM events WHERE event_id >= (SELECT min(e.event_id) FROM events e WHERE e.user_id = events.user_id AND e.event_id % 5 = 0)""")
+def _(spark, d):
+    a, b = _ips()
+    template = F.when(F.col("event_id") % 5 == 0, "00000014012C000300080004000C000400010004").otherwise("")
+    packet = F.unhex(_text("00090001", "00" * 16, template, "012C0010", a, b, _hex("event_id", 4)))
+    sent = _events(spark, d, packet, F.col("user_id").alias("exporter"), F.col("event_id").alias("seq"))
+    return packets.netflow_templated(sent).select("entity_id", *_get("in_bytes", cast="long"))
+
+
+@register("source_pcap", f"SELECT 'pcap:' || {USER_IP} || ':53-' || {EVENT_IP} || ':' || (event_id % 60000) AS entity_id, CAST(event_id % 200 AS BIGINT) AS ttl, CAST(4 AS BIGINT) AS payload_size FROM events")
+def _(spark, d):
+    a, b = _ips()
+    ip = _text("45000020", "00000000", _hex(F.col("event_id") % 200, 1), "110000", a, b)
+    frame = _text("00" * 12, "0800", ip, "0035", _hex(F.col("event_id") % 60000, 2), "000C0000", "01020304")
+    head = "A1B2C3D400020004" + "00" * 8 + "0000FFFF00000001"
+    file = F.unhex(_text(head, "00000005", "00000000", "0000002E", "0000002E", frame))
+    return packets.pcap(_events(spark, d, file)).select("entity_id", *_get("ttl", "payload_size", cast="long"))
+
+
+@register("source_klv", "SELECT 'klv-T' || event_id AS entity_id, round((event_id % 1000) * 1000000 * 90.0e0 / 2147483647, 6) AS lat FROM events")
+def _(spark, d):
+    tail = F.hex(_text("T", ID))
+    body = _text("04", _hex(F.length(tail) / 2, 1), tail, "0D04", _hex((F.col("event_id") % 1000) * 1_000_000, 4))
+    value = F.unhex(_text(packets.KLV_KEY.hex(), _hex(F.length(body) / 2, 1), body))
+    rows = packets.klv(_events(spark, d, value, F.lit("s").alias("sender")))
+    return rows.select("entity_id", F.round("lat", 6).alias("lat"))
+
+
+@register("source_lorawan", "SELECT 'lorawan:' || printf('%08X', user_id) AS entity_id, CAST(event_id % 65536 AS BIGINT) AS fcnt, CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS adr, printf('%04X', event_id) AS frm_payload_hex FROM events")
+def _(spark, d):
+    frame = _text("40", _little("user_id", 4), F.when(F.col("event_id") % 2 == 0, "80").otherwise("00"), _little(F.col("event_id") % 65536, 2), "0A", _hex("event_id", 2), "AABBCCDD")
+    return packets.lorawan(_events(spark, d, frame)).select("entity_id", *_get("fcnt", cast="long"), *_get("adr", "frm_payload_hex"))
+
+
+@register("source_canbus", "SELECT 'canbus:j1939:sa-' || (user_id % 256) AS entity_id, CASE WHEN event_id % 2 = 0 THEN 'engine' ELSE 'vehicle' END AS entity_type, CASE WHEN event_id % 2 = 0 THEN (event_id % 65536) * 0.125e0 END AS engine_speed_rpm, CASE WHEN event_id % 2 = 1 THEN (event_id % 256 * 256) / 256.0e0 END AS vehicle_speed_kmh FROM events")
+def _(spark, d):
+    source = _hex(F.col("user_id") % 256, 1)
+    frame = F.when(F.col("event_id") % 2 == 0, _text("0CF004", source, "#000000", _little(F.col("event_id") % 65536, 2), "FFFFFF")).otherwise(_text("18FEF1", source, "#0000", _hex(F.col("event_id") % 256, 1), "00"))
+    rows = packets.canbus(_events(spark, d, _text("(1.5) can0 ", frame)))
+    return rows.select("entity_id", "entity_type", *_get("engine_speed_rpm", "vehicle_speed_kmh", cast="double"))
+
+
+@register("source_acars", "SELECT 'acars:N' || user_id AS entity_id, 'F' || event_id AS flight_id, event_type || chr(10) || 'second' AS message_text FROM events")
+def _(spark, d):
+    text = _text("MODE: 2\nREG: .N", F.col("user_id").cast("string"), "\nLABEL: H1\nFLIGHT: F", ID, "\nMSG: ", F.col("event_type"), "\nsecond")
+    return packets.acars(_events(spark, d, text)).select("entity_id", *_get("flight_id", "message_text"))
