@@ -71,3 +71,15 @@ def test_fence_merge_and_outbox(spark):
     assert {r.entity_id: (r.ts, r.properties) for r in streams.merged(log).collect()} == {"a": (2, {"x": "2", "y": "1"}), "b": (1, None)}
     sent = streams.outbox(spark.range(3).withColumnRenamed("id", "seq"), spark.createDataFrame([("n", 1)], "peer string, seq long"), ["n", "s"])
     assert ids(sent.select("peer", "seq")) == [("n", 2), ("s", 0), ("s", 1), ("s", 2)]
+
+
+def test_shortest_path_beyond_ten_hops(spark):
+    from tidewatch.operators import graph
+
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(14)] + [("n00", "n00"), ("n03", "n01"), ("n05", "x"), ("x", "n07"), ("n05", "w"), ("w", "n07")]
+    edges = spark.createDataFrame(chain, "source_id string, target_id string")
+    assert ids(graph.shortest_path(edges, "n00", "n14")) == [(14, ">".join(f"n{i:02}" for i in range(15)))]
+    assert ids(graph.shortest_path(edges, "n05", "n07")) == [(2, "n05>n06>n07")]
+    assert ids(graph.shortest_path(edges, "n00", "n14", 5)) == [] and ids(graph.shortest_path(edges, "n14", "n00")) == [] and ids(graph.shortest_path(edges, "n01", "n01")) == []
+    named = edges.withColumn("rel_type", F.lit("r"))
+    assert ids(graph.neighbors(named, "n12", 5)) == [("n13", 1, "r"), ("n14", 2, "r")]

@@ -1,13 +1,16 @@
 """Graph operators over (source_id, target_id, rel_type): bounded expansion, paths, degrees.
 
 Every step is an equi-join of a frontier with the edges; visited nodes are removed with
-an anti-join.  Hop counts are bounded by MAX_HOPS, and the plan grows with them.
+an anti-join.  Breadth-first operators write each frontier before the next step, so that a
+step reads the edges once; paths and walks are one plan, bounded by MAX_HOPS.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .staging import cut
+
 MAX_HOPS = 10
 
 
@@ -23,8 +26,10 @@ def neighbors(edges: DataFrame, start: str, depth: int) -> DataFrame:
     seen = edges.sparkSession.createDataFrame([(start, 0, None)], "entity_id string, depth int, via string")
     frontier = seen
     for d in range(1, depth + 1):
-        step = edges.join(F.broadcast(frontier.select(F.col("entity_id").alias("source_id"))) if d == 1 else frontier.select(F.col("entity_id").alias("source_id")), "source_id")
-        frontier = step.groupBy(F.col("target_id").alias("entity_id")).agg(F.min("rel_type").alias("via")).join(seen.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(d).alias("depth"), "via")
+        step = edges.join(frontier.select(F.col("entity_id").alias("source_id")), "source_id")
+        frontier = cut(step.groupBy(F.col("target_id").alias("entity_id")).agg(F.min("rel_type").alias("via")).join(seen.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(d).alias("depth"), "via"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
@@ -43,9 +48,27 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_hops: int) -> D
     return found
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 6) -> DataFrame:
-    """The first shortest path by node order: (hops, nodes)."""
-    return simple_paths(edges, source, target, max_hops).orderBy("hops", "nodes").limit(1)
+def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
+    """The first shortest path by node order: (hops, nodes); no row where there is none, or none within max_hops.
+
+    Breadth-first with visited nodes: of all shortest ways to a node only the least text is kept,
+    which the least way to any node beyond it begins with.
+    """
+    spark = edges.sparkSession
+    e = edges.select("source_id", "target_id")
+    frontier = spark.createDataFrame([(source, source)], "entity_id string, nodes string")
+    seen, d = frontier.select("entity_id"), 0
+    while source != target and (max_hops is None or d < max_hops):
+        d += 1
+        step = e.join(frontier, e["source_id"] == frontier["entity_id"]).select("target_id", F.concat_ws(">", "nodes", "target_id").alias("nodes"))
+        frontier = cut(step.groupBy(F.col("target_id").alias("entity_id")).agg(F.min("nodes").alias("nodes")).join(seen, "entity_id", "left_anti"))
+        found = frontier.where(F.col("entity_id") == target)
+        if not found.isEmpty():
+            return found.select(F.lit(d).alias("hops"), "nodes")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.select("entity_id"))
+    return spark.createDataFrame([], "hops int, nodes string")
 
 
 def hops(edges: DataFrame, start: str, k: int) -> DataFrame:

@@ -6,27 +6,14 @@ value that many entities share costs rows in proportion to its entities.
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .rules import fuzzy_screen, normalise
+from .staging import cut
 
 ID_FIELDS = ("mmsi", "icao", "icao_hex")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the shared folder of the cluster, or a temporary one in local mode."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-"))
-    return df.checkpoint()
-
-
 def match_ids(entities: DataFrame, fields: tuple[str, ...] = ID_FIELDS) -> DataFrame:
     """(a, b, field, confidence 1.0): each entity that shares an identifier with a lesser one of its type, and the least of them.
 

@@ -185,13 +185,20 @@ def netflow_templated(packets: DataFrame) -> DataFrame:
     """Flow exports of versions 9 and 10, (exporter, seq, value): each data set is read by the last template before it.
 
     A template holds for its exporter and source from its packet on (`seq` orders packets).  Data
-    before their template, and templates with fields of varying length, give no row.
+    before their template, and templates with fields of varying length, give no row.  Only changes
+    of a template are gathered, so repeated announcements cost nothing and data sets, a hot
+    exporter's too, meet a short list by an equi-join that may be split; packets are walked twice.
     """
     schema = "exporter string, source long, seq long, part int, version int, seconds long, template int, fields array<int>, body binary"
     sets = _walked(packets.select("value", F.col("exporter").cast("string").alias("exporter"), F.col("seq").cast("long").alias("seq")), _flow_sets, schema, "value", "exporter", "seq")
-    w = Window.partitionBy("exporter", "source", "template").orderBy("seq", "part").rowsBetween(Window.unboundedPreceding, 0)
-    known = sets.withColumn("fields", F.last("fields", ignorenulls=True).over(w)).where("body is not null and fields is not null")
-    return _walked(known, _flow_records, OBSERVED, "body", "fields", "version", "seconds")
+    key = ["exporter", "source", "template"]
+    w = Window.partitionBy(*key).orderBy("seq", "part")
+    said = sets.where("fields is not null").select(*key, "seq", "part", "fields").withColumn("before", F.lag("fields").over(w)).where("before is null or before <> fields")
+    held = said.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "part", "fields"))).alias("all"))
+    place = F.struct("seq", "part")
+    data = sets.where("body is not null").drop("fields").withColumn("place", place).join(held, key)
+    last = F.get(F.reverse(F.filter("all", lambda t: F.struct(t["seq"], t["part"]) <= F.col("place"))), F.lit(0))["fields"]
+    return _walked(data.withColumn("fields", last).where("fields is not null"), _flow_records, OBSERVED, "body", "fields", "version", "seconds")
 
 
 def _captured(value: bytes) -> Iterator[tuple]:
@@ -222,7 +229,10 @@ def _captured(value: bytes) -> Iterator[tuple]:
 
 
 def pcap(files: DataFrame) -> DataFrame:
-    """Captures, whole files of either byte order: a row for each packet of IPv4 over Ethernet; other packets give none."""
+    """Captures, whole files of either byte order: a row for each packet of IPv4 over Ethernet; other packets give none.
+
+    A file is one value, so it must stay below 2 GB; capture tools rotate files far earlier.
+    """
     return _walked(files.select("value"), _captured, OBSERVED, "value")
 
 
