@@ -35,13 +35,6 @@ def test_marine_sentences(spark):
     assert rows[0].properties["altitude_m"] == "545.4" and rows[1].properties["speed_knots"] == "22.4"
 
 
-def test_ais(spark):
-    r = feeds.ais(lines(spark, "!AIVDM,1,1,,B,177KQJ5000G?tO`K>RA1wUbN0TKH,0*5C", "!AIVDM,1,1,,B,177KQJ5000G?tO`K>RA1wUbN0TKH,0*5D", None)).collect()
-    assert len(r) == 1 and r[0].entity_id == "mmsi:477553000"
-    assert abs(r[0].lat - 47.5828333) < 1e-6 and abs(r[0].lon + 122.3458333) < 1e-6
-    assert r[0].properties["nav_status"] == "5" and r[0].properties["heading"] == "181" and float(r[0].properties["cog"]) == 51.0
-
-
 def test_geojson(spark):
     text = json.dumps({"type": "FeatureCollection", "features": [
         {"type": "Feature", "id": "a", "geometry": {"type": "Point", "coordinates": [4.5, 51.9]}, "properties": {"entity_type": "port", "n": 1}},

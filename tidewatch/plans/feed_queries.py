@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import feeds, messages, packets
+from ..sources import feeds, marine, messages, packets
 from . import model
 from .queries import ENT, register
 
@@ -107,10 +107,10 @@ def _(spark, d):
     return messages.sparkplug(sent).select("entity_id", *_get("metric_value", cast="long"))
 
 
-def _sentence(body):
+def _sentence(body, start="$"):
     """A body as a marine sentence with its checksum."""
     total = F.aggregate(F.split(body, ""), F.lit(0), lambda a, c: a.bitwiseXOR(F.ascii(c)))
-    return _text("$", body, "*", F.lpad(F.hex(total), 2, "0"))
+    return _text(start, body, "*", F.lpad(F.hex(total), 2, "0"))
 
 
 @register("source_nmea_fixes", """
@@ -208,3 +208,25 @@ def _(spark, d):
 def _(spark, d):
     text = _text("MODE: 2\nREG: .N", F.col("user_id").cast("string"), "\nLABEL: H1\nFLIGHT: F", ID, "\nMSG: ", F.col("event_type"), "\nsecond")
     return packets.acars(_events(spark, d, text)).select("entity_id", *_get("flight_id", "message_text"))
+
+
+@register("source_ais", """
+SELECT 'mmsi:' || printf('%09d', user_id + 200000000) AS entity_id, CAST(event_id % 180 - 90 AS DOUBLE) AS lat, CAST(user_id % 360 - 180 AS DOUBLE) AS lon, event_id % 1000 / 10.0e0 AS sog, CAST(event_id % 360 AS BIGINT) AS heading FROM events""")
+def _(spark, d):
+    bits = lambda c, n: F.right(F.lpad(F.bin(c), 64, "0"), F.lit(n))
+    word = _text(
+        "00000100", bits(F.col("user_id") + 200_000_000, 30), "0000", "00000000", bits(F.col("event_id") % 1000, 10), "0", bits((F.col("user_id") % 360 - 180) * 600_000, 28),
+        bits((F.col("event_id") % 180 - 90) * 600_000, 27), "111000010000", bits(F.col("event_id") % 360, 9), "0" * 31)
+    six = lambda i: F.conv(F.substr(F.col("word"), i * 6 + 1, F.lit(6)), 2, 10).cast("int")
+    payload = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(27)), lambda i: F.char(six(i) + F.when(six(i) < 40, 48).otherwise(56))), "")
+    sent = model.read(spark, d, "events").select("event_id", "user_id", word.alias("word")).select("event_id", "user_id", payload.alias("p"))
+    # each report in two sentences, every user a feed
+    half = lambda k: F.struct((F.col("event_id") * 2 + k).alias("n"), _sentence(_text("AIVDM,2,", str(k), ",", (F.col("event_id") % 10).cast("string"), ",A,", F.substring("p", 1, 14) if k == 1 else F.expr("substring(p, 15)"), ",0"), "!").alias("value"))
+    lines = sent.select(F.col("user_id").alias("feed"), F.explode(F.array(half(1), half(2))).alias("x")).select("feed", "x.*")
+    return marine.ais(lines).select("entity_id", "lat", "lon", *_get("sog", cast="double"), *_get("heading", cast="long"))
+
+
+@register("source_instruments", "SELECT CASE WHEN event_id % 2 = 0 THEN 'depth' ELSE 'engine:' || (user_id % 4) END AS entity_id, CASE WHEN event_id % 2 = 0 THEN value END AS depth_m, CASE WHEN event_id % 2 = 1 THEN CAST(event_id AS DOUBLE) END AS rpm FROM events")
+def _(spark, d):
+    body = F.when(F.col("event_id") % 2 == 0, _text("SDDBT,1.0,f,", F.col("value").cast("string"), ",M,1.0,F")).otherwise(_text("ERRPM,E,", (F.col("user_id") % 4).cast("string"), ",", ID, ",10,A"))
+    return marine.instruments(_events(spark, d, _sentence(body))).select("entity_id", *_get("depth_m", "rpm", cast="double"))

@@ -94,26 +94,6 @@ def fixes(lines: DataFrame, vessel: str = "own_vessel") -> DataFrame:
     return _observed(rows.where(gga | rmc), F.lit(vessel), F.lit("own_vessel"), lat, lon, props).where("lat is not null and lon is not null")
 
 
-def ais(lines: DataFrame) -> DataFrame:
-    """Position reports (types 1-3 and 18) in one sentence; values marked as not available are null."""
-    f = F.split("body", ",", -1)
-    rows = checked(lines).where(F.col("body").rlike(r"^..VD[MO],1,1,")).select(F.get(f, F.lit(5)).alias("payload"))
-    sixes = F.transform(F.filter(F.split("payload", ""), lambda c: F.length(c) > 0), lambda c: F.lpad(F.bin(F.ascii(c) - F.when(F.ascii(c) >= 96, 56).otherwise(48)), 6, "0"))
-    rows = rows.select(F.array_join(sixes, "").alias("bits"))
-    take = lambda start, n: F.conv(F.substring("bits", start + 1, n), 2, 10).try_cast("long")
-    kind = take(0, 6)
-    a, b = kind.between(1, 3), kind == 18
-    rows = rows.where((a & (F.length("bits") >= 149)) | (b & (F.length("bits") >= 133)))
-    pick = lambda start_a, start_b, n: F.when(a, take(start_a, n)).otherwise(take(start_b, n))
-    signed = lambda v, n: F.when(v >= 2 ** (n - 1), v - 2**n).otherwise(v)
-    lon, lat = signed(pick(61, 57, 28), 28) / 600000.0, signed(pick(89, 85, 27), 27) / 600000.0
-    sog, cog, heading = pick(50, 46, 10), pick(116, 112, 12), pick(128, 124, 9)
-    mmsi = F.lpad(take(8, 30).cast("string"), 9, "0")
-    props = _filled(mmsi=mmsi, message_type=kind, sog=F.when(sog < 1023, sog / 10.0), cog=F.when(cog < 3600, cog / 10.0), heading=F.when(heading < 360, heading), nav_status=F.when(a, take(38, 4)))
-    there = (F.abs(lat) <= 90) & (F.abs(lon) <= 180)
-    return _observed(rows, F.concat(F.lit("mmsi:"), mmsi), F.lit("ship"), F.when(there, lat), F.when(there, lon), props)
-
-
 def geojson(texts: DataFrame) -> DataFrame:
     """One row per feature of collections or single features; the position is the mean of all vertices, of any geometry."""
     parsed = F.from_json("value", "type string, features array<string>")
