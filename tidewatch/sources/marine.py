@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .feeds import _filled, _observed, checked
 
 MOST_PARTS = 9
+SIGNS = "".join(chr(v + 48 if v < 40 else v + 56) for v in range(64))
+BASE64 = "".join(chr(c) for c in (*range(65, 91), *range(97, 123), *range(48, 58), 43, 47))
 
 
 def instruments(lines: DataFrame) -> DataFrame:
@@ -69,11 +71,19 @@ def ais(lines: DataFrame) -> DataFrame:
 
     Values marked as not available are null.  A report that is too short for its type gives no row.
     """
-    sixes = F.transform(F.filter(F.split("payload", ""), lambda c: F.length(c) > 0), lambda c: F.lpad(F.bin(F.ascii(c) - F.when(F.ascii(c) >= 96, 56).otherwise(48)), 6, "0"))
-    rows = payloads(lines).select(F.array_join(sixes, "").alias("bits"), "own")
-    take = lambda start, n: F.conv(F.substring("bits", start + 1, n), 2, 10).try_cast("long")
-    rows = rows.withColumn("t", take(0, 6))
-    t = F.col("t")
+    # the 64 signs of a payload are those of base 64 in another order, so a payload is bytes at once
+    kept = payloads(lines).where(F.col("payload").rlike("^[0-W`-w]+$"))
+    filled = F.rpad(F.translate("payload", SIGNS, BASE64), (F.ceil(F.length("payload") / 4) * 4).cast("int"), "A")
+    rows = kept.select("payload", "own", F.concat(F.hex(F.unbase64(filled)), F.lit("0000")).alias("h"))
+    # cheap for filters: the type is the first sign, and the bits are counted, not built
+    t = F.ascii("payload") - F.when(F.ascii("payload") >= 96, 56).otherwise(48)
+    size = F.length("payload") * 6
+
+    def take(start: int, n: int) -> Column:
+        end = -(-(start + n) // 4)
+        word = F.conv(F.substring("h", start // 4 + 1, end - start // 4), 16, 10).try_cast("long")
+        return F.shiftright(word, end * 4 - start - n).bitwiseAND(2**n - 1)
+
     # type -> fewest bits, places of longitude, latitude, speed, course, heading
     layout = {(1, 2, 3): (149, 61, 89, 50, 116, 128), (18, 19): (133, 57, 85, 46, 112, 124), (4,): (149, 79, 107, None, None, None), (9,): (134, 61, 89, 50, 116, None), (21,): (219, 164, 192, None, None, None), (27,): (96, 44, 62, 79, 85, None), (5,): (302, None, None, None, None, None)}
     need = lon = lat = sog = cog = heading = F.lit(None).cast("double")
@@ -91,11 +101,16 @@ def ais(lines: DataFrame) -> DataFrame:
             cog = F.when(mine, F.when(v < (360 if far else 3600), v.cast("double") if far else v / 10.0)).otherwise(cog)
         if h is not None:
             heading = F.when(mine, F.when(take(h, 9) < 360, take(h, 9))).otherwise(heading)
-    rows = rows.where(F.length("bits") >= need)
+    rows = rows.where(size >= need)
 
     def text(start: int, n: int) -> Column:
-        letters = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(F.substr("bits", i * 6 + start + 1, F.lit(6)), 2, 10).cast("int"))
-        plain = F.array_join(F.transform(letters, lambda v: F.char(F.when(v < 32, v + 64).otherwise(v))), "")
+        def letter(i: Column) -> Column:
+            at = i * 6 + start
+            word = F.conv(F.substr("h", F.floor(at / 4).cast("int") + 1, F.lit(3)), 16, 10).cast("int")
+            # three hex digits hold the six bits from the place's rest on
+            return F.floor(word / F.pow(F.lit(2.0), 6 - at % 4)).cast("int") % 64
+
+        plain = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.char(F.when(letter(i) < 32, letter(i) + 64).otherwise(letter(i)))), "")
         return F.nullif(F.trim(F.regexp_replace(plain, "@.*$", "")), F.lit(""))
 
     mmsi = F.lpad(take(8, 30).cast("string"), 9, "0")
@@ -105,8 +120,8 @@ def ais(lines: DataFrame) -> DataFrame:
     imo = take(40, 30)
     props = _filled(
         mmsi=mmsi, message_type=t, sog=sog, cog=cog, heading=heading.cast("int"), nav_status=F.when(t.between(1, 3), take(38, 4)).when(t == 27, take(40, 4)),
-        imo=of(fixed & (imo > 0), imo), call_sign=of(fixed, text(70, 7)), vessel_name=F.when(fixed, text(112, 20)).when((t == 19) & (F.length("bits") >= 263), text(143, 20)), ship_type=F.when(fixed, take(232, 8)).when((t == 19) & (F.length("bits") >= 271), take(263, 8)),
-        draught_m=of(fixed, take(294, 8) / 10.0), destination=of(fixed & (F.length("bits") >= 422), text(302, 20)), altitude_m=of(rescue & (take(38, 12) < 4095), take(38, 12)),
+        imo=of(fixed & (imo > 0), imo), call_sign=of(fixed, text(70, 7)), vessel_name=F.when(fixed, text(112, 20)).when((t == 19) & (size >= 263), text(143, 20)), ship_type=F.when(fixed, take(232, 8)).when((t == 19) & (size >= 271), take(263, 8)),
+        draught_m=of(fixed, take(294, 8) / 10.0), destination=of(fixed & (size >= 422), text(302, 20)), altitude_m=of(rescue & (take(38, 12) < 4095), take(38, 12)),
         aid_type=of(aid, take(38, 5)), name=of(aid, text(43, 20)), reported_at=of(station & (take(38, 14) > 0), sent), fix_type=of(station, take(134, 4)))
     entity = F.when(station, F.concat(F.lit("ais_base:"), mmsi)).when(aid, F.concat(F.lit("aton:"), mmsi)).when(F.col("own"), "own_vessel").otherwise(F.concat(F.lit("mmsi:"), mmsi))
     kind = F.when(station, "ais_base_station").when(aid, "aton").when(rescue, "sar_aircraft").otherwise("ship")
