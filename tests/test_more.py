@@ -83,3 +83,13 @@ def test_shortest_path_beyond_ten_hops(spark):
     assert ids(graph.shortest_path(edges, "n00", "n14", 5)) == [] and ids(graph.shortest_path(edges, "n14", "n00")) == [] and ids(graph.shortest_path(edges, "n01", "n01")) == []
     named = edges.withColumn("rel_type", F.lit("r"))
     assert ids(graph.neighbors(named, "n12", 5)) == [("n13", 1, "r"), ("n14", 2, "r")]
+
+
+def test_entry_is_imported_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'source_ais' in q"
+    assert subprocess.run([sys.executable, "-c", code], cwd=here).returncode == 0

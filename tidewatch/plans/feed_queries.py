@@ -8,7 +8,9 @@ from ..sources import feeds, marine, messages, packets
 from . import model
 from .queries import ENT, register
 
-ID = F.col("event_id").cast("string")
+
+def _id():
+    return F.col("event_id").cast("string")
 
 
 def _events(spark, d, value, *more):
@@ -30,7 +32,7 @@ FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'host' WHEN event_id % 3 = 1 THE
 def _(spark, d):
     m = F.col("event_id") % 3
     body = F.when(m == 0, "session opened").when(m == 1, "packet denied").otherwise(_text("CEF:0|ven|VulnScan|1|7|found|", (F.col("event_id") % 11).cast("string"), "|src=10.0.0.", (F.col("event_id") % 250).cast("string")))
-    line = _text("<", (F.col("event_id") % 8 + 16).cast("string"), ">1 2024-01-01T00:00:00Z gate", F.col("user_id").cast("string"), ' app 1 - [m@1 n="', ID, '"] ', body)
+    line = _text("<", (F.col("event_id") % 8 + 16).cast("string"), ">1 2024-01-01T00:00:00Z gate", F.col("user_id").cast("string"), ' app 1 - [m@1 n="', _id(), '"] ', body)
     return messages.syslog(_events(spark, d, line)).select("entity_id", "entity_type", *_get("sd_n", "severity"))
 
 
@@ -39,8 +41,8 @@ SELECT CASE WHEN event_id % 5 = 0 THEN 'zeek:10.0.0.' || (user_id % 250) || '-10
   CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS local_orig FROM events""")
 def _(spark, d):
     header = messages.zeek_header(["#separator \\x09", "#unset_field\t-", "#path\tconn", "#fields\tts\tuid\tid.orig_h\tid.resp_h\tservice\torig_bytes\tlocal_orig", "#types\ttime\tstring\taddr\taddr\tstring\tcount\tbool"])
-    uid = F.when(F.col("event_id") % 5 == 0, "-").otherwise(_text("C", ID))
-    line = F.concat_ws("\t", F.lit("1.5"), uid, _text("10.0.0.", (F.col("user_id") % 250).cast("string")), F.lit("10.1.0.1"), "event_type", ID, F.when(F.col("event_id") % 2 == 0, "T").otherwise("F"))
+    uid = F.when(F.col("event_id") % 5 == 0, "-").otherwise(_text("C", _id()))
+    line = F.concat_ws("\t", F.lit("1.5"), uid, _text("10.0.0.", (F.col("user_id") % 250).cast("string")), F.lit("10.1.0.1"), "event_type", _id(), F.when(F.col("event_id") % 2 == 0, "T").otherwise("F"))
     rows = messages.zeek_tsv(_events(spark, d, line), header)
     return rows.select("entity_id", *_get("service"), *_get("orig_bytes", cast="long"), *_get("local_orig"))
 
@@ -50,7 +52,7 @@ SELECT 'stix:' || kind || '--' || event_id AS entity_id, CASE kind WHEN 'malware
 FROM (SELECT *, ['malware', 'threat-actor', 'observed-data', 'x-own'][event_id % 4 + 1] AS kind FROM events)""")
 def _(spark, d):
     kind = F.get(F.array(*[F.lit(x) for x in ("malware", "threat-actor", "observed-data", "x-own")]), (F.col("event_id") % 4).cast("int"))
-    text = _text('{"type":"bundle","id":"bundle--1","objects":[{"type":"', kind, '","id":"', kind, "--", ID, '","name":"', F.col("event_type"), '"},{"type":"note"}]}')
+    text = _text('{"type":"bundle","id":"bundle--1","objects":[{"type":"', kind, '","id":"', kind, "--", _id(), '","name":"', F.col("event_type"), '"},{"type":"note"}]}')
     return messages.stix(_events(spark, d, text)).select("entity_id", "entity_type", *_get("name"))
 
 
@@ -70,7 +72,7 @@ def _(spark, d):
     low, high = lat.cast("string"), (lat + 2).cast("string")
     area = F.when(F.col("event_id") % 2 == 0, _text("<circle>", low, ",", lon, " 5.0</circle>")).otherwise(_text("<polygon>", low, ",", lon, " ", high, ",", lon, "</polygon>"))
     kind = F.when(F.col("event_id") % 3 == 0, "Met").when(F.col("event_id") % 3 == 1, "Fire").otherwise("Other")
-    text = _text('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>A', ID, "</identifier><info><category>", kind, "</category><event>", F.col("event_type"), "</event><area><areaDesc>x</areaDesc>", area, "</area></info></alert>")
+    text = _text('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>A', _id(), "</identifier><info><category>", kind, "</category><event>", F.col("event_type"), "</event><area><areaDesc>x</areaDesc>", area, "</area></info></alert>")
     return messages.cap(_events(spark, d, text)).select("entity_id", "entity_type", *_get("event"), "lat", "lon")
 
 
@@ -78,7 +80,7 @@ def _(spark, d):
 SELECT 'gtfs:vehicle:V' || user_id AS entity_id, 'T' || event_id AS trip_id, CAST(event_id % 90 AS DOUBLE) AS lat FROM events
 UNION ALL SELECT 'gtfs:trip:U' || event_id, 'U' || event_id, NULL FROM events""")
 def _(spark, d):
-    text = _text('{"entity":[{"vehicle":{"trip":{"tripId":"T', ID, '"},"vehicle":{"id":"V', F.col("user_id").cast("string"), '"},"position":{"latitude":', (F.col("event_id") % 90).cast("string"), ',"longitude":1.5}}},{"trip_update":{"trip":{"trip_id":"U', ID, '"}}},{"vehicle":{}}]}')
+    text = _text('{"entity":[{"vehicle":{"trip":{"tripId":"T', _id(), '"},"vehicle":{"id":"V', F.col("user_id").cast("string"), '"},"position":{"latitude":', (F.col("event_id") % 90).cast("string"), ',"longitude":1.5}}},{"trip_update":{"trip":{"trip_id":"U', _id(), '"}}},{"vehicle":{}}]}')
     return messages.gtfs(_events(spark, d, text)).select("entity_id", *_get("trip_id"), "lat")
 
 
@@ -86,7 +88,7 @@ def _(spark, d):
 SELECT CASE WHEN event_id % 2 = 0 THEN 'P' || user_id ELSE 'GLU' END AS entity_id, CASE WHEN event_id % 2 = 0 THEN 'patient' ELSE 'observation' END AS entity_type, 'C' || event_id AS msh_control_id, value AS observed FROM events""")
 def _(spark, d):
     patient = F.when(F.col("event_id") % 2 == 0, _text("PID|1||P", F.col("user_id").cast("string"), "^^^H~X||Doe^Jo\r")).otherwise(F.lit(""))
-    text = _text("MSH|^~\\&|LAB|WEST|||20240101||ORU^R01|C", ID, "|P|2.5\r", patient, "OBR|1|||GLU^Glucose\rOBX|1|NM|GLU^Glucose||", F.col("value").cast("string"), "|mmol\r")
+    text = _text("MSH|^~\\&|LAB|WEST|||20240101||ORU^R01|C", _id(), "|P|2.5\r", patient, "OBR|1|||GLU^Glucose\rOBX|1|NM|GLU^Glucose||", F.col("value").cast("string"), "|mmol\r")
     rows = messages.hl7(_events(spark, d, text))
     return rows.select("entity_id", "entity_type", *_get("msh.control_id"), F.get_json_object(F.element_at("properties", "obx.GLU"), "$.value").cast("double").alias("observed"))
 
@@ -95,14 +97,14 @@ def _(spark, d):
 SELECT 'opcua:ns=2;s=N' || event_id AS entity_id, CASE event_id % 4 WHEN 0 THEN 'temperature_sensor' WHEN 1 THEN 'pump' WHEN 2 THEN 'voltage_sensor' ELSE 'sensor' END AS entity_type, value AS numeric_value, CASE WHEN event_id % 2 = 0 THEN 'Good' ELSE 'Bad' END AS status FROM events""")
 def _(spark, d):
     name = F.get(F.array(*[F.lit(x) for x in ("Boiler Temp", "Pump 3", "Line Voltage", "Other")]), (F.col("event_id") % 4).cast("int"))
-    text = _text('{"NodeId":"ns=2;s=N', ID, '","DisplayName":"', name, '","Value":', F.col("value").cast("string"), ',"StatusCode":', F.when(F.col("event_id") % 2 == 0, "0").otherwise("2147483648"), "}")
+    text = _text('{"NodeId":"ns=2;s=N', _id(), '","DisplayName":"', name, '","Value":', F.col("value").cast("string"), ',"StatusCode":', F.when(F.col("event_id") % 2 == 0, "0").otherwise("2147483648"), "}")
     return messages.opcua(_events(spark, d, text)).select("entity_id", "entity_type", *_get("numeric_value", cast="double"), *_get("status"))
 
 
 @register("source_sparkplug", """
 SELECT 'sparkplug:g:n' || user_id || ':d:' || event_type AS entity_id, CAST(event_id AS BIGINT) AS metric_value FROM events UNION ALL SELECT 'sparkplug:g:n' || user_id || ':d:seen', 1 FROM events""")
 def _(spark, d):
-    text = _text('{"seq":1,"metrics":[{"name":"', F.col("event_type"), '","longValue":', ID, '},{"name":"seen","value":1},{"value":2}]}')
+    text = _text('{"seq":1,"metrics":[{"name":"', F.col("event_type"), '","longValue":', _id(), '},{"name":"seen","value":1},{"value":2}]}')
     sent = _events(spark, d, text, _text("spBv1.0/g/DDATA/n", F.col("user_id").cast("string"), "/d").alias("topic"))
     return messages.sparkplug(sent).select("entity_id", *_get("metric_value", cast="long"))
 
@@ -131,7 +133,7 @@ def _(spark, d):
 
 @register("source_csv", "SELECT 'sensor:' || event_id AS entity_id, event_type AS kind, CAST(event_id % 90 AS DOUBLE) AS lat FROM events WHERE event_id % 7 <> 0")
 def _(spark, d):
-    table = model.read(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, " ").otherwise(ID).alias("key"), (F.col("event_id") % 90).cast("string").alias("y"), F.lit("x").alias("x"), F.concat("event_type", F.lit(" ")).alias("kind"))
+    table = model.read(spark, d, "events").select(F.when(F.col("event_id") % 7 == 0, " ").otherwise(_id()).alias("key"), (F.col("event_id") % 90).cast("string").alias("y"), F.lit("x").alias("x"), F.concat("event_type", F.lit(" ")).alias("kind"))
     return feeds.delimited(table, "sensor", "key", "y", "x").select("entity_id", *_get("kind"), "lat")
 
 
@@ -183,7 +185,7 @@ def _(spark, d):
 
 @register("source_klv", "SELECT 'klv-T' || event_id AS entity_id, round((event_id % 1000) * 1000000 * 90.0e0 / 2147483647, 6) AS lat FROM events")
 def _(spark, d):
-    tail = F.hex(_text("T", ID))
+    tail = F.hex(_text("T", _id()))
     body = _text("04", _hex(F.length(tail) / 2, 1), tail, "0D04", _hex((F.col("event_id") % 1000) * 1_000_000, 4))
     value = F.unhex(_text(packets.KLV_KEY.hex(), _hex(F.length(body) / 2, 1), body))
     rows = packets.klv(_events(spark, d, value, F.lit("s").alias("sender")))
@@ -206,7 +208,7 @@ def _(spark, d):
 
 @register("source_acars", "SELECT 'acars:N' || user_id AS entity_id, 'F' || event_id AS flight_id, event_type || chr(10) || 'second' AS message_text FROM events")
 def _(spark, d):
-    text = _text("MODE: 2\nREG: .N", F.col("user_id").cast("string"), "\nLABEL: H1\nFLIGHT: F", ID, "\nMSG: ", F.col("event_type"), "\nsecond")
+    text = _text("MODE: 2\nREG: .N", F.col("user_id").cast("string"), "\nLABEL: H1\nFLIGHT: F", _id(), "\nMSG: ", F.col("event_type"), "\nsecond")
     return packets.acars(_events(spark, d, text)).select("entity_id", *_get("flight_id", "message_text"))
 
 
@@ -228,5 +230,5 @@ def _(spark, d):
 
 @register("source_instruments", "SELECT CASE WHEN event_id % 2 = 0 THEN 'depth' ELSE 'engine:' || (user_id % 4) END AS entity_id, CASE WHEN event_id % 2 = 0 THEN value END AS depth_m, CASE WHEN event_id % 2 = 1 THEN CAST(event_id AS DOUBLE) END AS rpm FROM events")
 def _(spark, d):
-    body = F.when(F.col("event_id") % 2 == 0, _text("SDDBT,1.0,f,", F.col("value").cast("string"), ",M,1.0,F")).otherwise(_text("ERRPM,E,", (F.col("user_id") % 4).cast("string"), ",", ID, ",10,A"))
+    body = F.when(F.col("event_id") % 2 == 0, _text("SDDBT,1.0,f,", F.col("value").cast("string"), ",M,1.0,F")).otherwise(_text("ERRPM,E,", (F.col("user_id") % 4).cast("string"), ",", _id(), ",10,A"))
     return marine.instruments(_events(spark, d, _sentence(body))).select("entity_id", *_get("depth_m", "rpm", cast="double"))
