@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import pytest
 
@@ -100,6 +102,39 @@ def test_closest_approach_of_fast_and_wrapping_tracks(spark):
     assert got["a", "b"]["at_risk"] and got["a", "b"]["tcpa_min"] == 22.5 and got["c", "d"]["at_risk"]
 
 
+def test_closest_approach_shuffles_no_pairs(spark):
+    """Each step of each pair by the formula, pole, antimeridian, standing, fast and unknown ways; pairs are not shuffled."""
+    rows = [(i, -20.0 + i * 53 % 41, (i * 97 % 41 + 340.0) % 360 - 180, float(i * 7 % 900), float(i * 41 % 360)) for i in range(60)]
+    rows += [(60, 89.9, 10.0, 300.0, 0.0), (61, 89.5, -170.0, 300.0, 0.0), (62, 0.0, 0.0, 0.0, 0.0), (63, 0.0, 0.0, 0.0, 0.0), (64, 0.0, 0.1, None, 0.0)]
+    points = spark.createDataFrame(rows, "entity_id long, lat double, lon double, speed double, course double")
+    steps = [k / 2 for k in range(61)]
+
+    def place(lat, lon, speed, course, t):
+        la, far, co = math.radians(lat), speed * 1.852 * t / 60 / 6371, math.radians(course)
+        to = math.asin(math.sin(la) * math.cos(far) + math.cos(la) * math.sin(far) * math.cos(co))
+        return to, math.radians(lon) + math.atan2(math.sin(co) * math.sin(far) * math.cos(la), math.cos(far) - math.sin(la) * math.sin(to))
+
+    want = {}
+    for a, b in ((a, b) for a in rows for b in rows if a[0] < b[0] and None not in a + b):
+        for t in steps:
+            (la, lo), (lb, mb) = place(*a[1:], t), place(*b[1:], t)
+            h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((mb - lo) / 2) ** 2
+            key = (round(2 * 6371 * math.asin(min(1, math.sqrt(h))) / 1.852, 4), t)
+            want[a[0], b[0]] = min(want.get((a[0], b[0]), key), key)
+    every = tracks.closest_approach(points, 30, 300.0)
+    got = {(r.a, r.b): r for r in every.collect()}
+    known = {k: (r.dcpa_nm, r.tcpa_min) for k, r in got.items() if r.at_risk is not None}
+    assert known == {k: want[k] for k in known} and got[62, 64].at_risk is None and got[62, 64].dcpa_nm is None and known[62, 63] == (0.0, 0.0)
+    risk = {k for k, (nm, t) in want.items() if nm < 300 and t > 0}
+    assert {k for k, r in got.items() if r.at_risk} == risk and len(risk) > 5
+    only = tracks.closest_approach(points, 30, 300.0, risk_only=True)
+    assert {(r.a, r.b): (r.dcpa_nm, r.tcpa_min) for r in only.collect()} == {k: want[k] for k in risk}
+    for df in (every, only):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("Join")]
+        assert "Exchange" not in above and "Aggregate" not in above
+
+
 def test_registered_audit_chain(spark):
     assert rules.verify_chain(Q._audit_log(spark, SF), ["seq", "op"]).count() == 0
     got = sorted(r[0] for r in Q.QUERIES["audit_verify"](spark, SF).collect())

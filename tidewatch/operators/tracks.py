@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions import geo
@@ -78,31 +81,100 @@ def dark_targets(tracks: DataFrame, as_of: Column, min_minutes: int = 30) -> Dat
     return g.select("entity_id", minutes.alias("minutes"), level.alias("severity")).where(F.col("minutes") >= min_minutes)
 
 
-def closest_approach(points: DataFrame, horizon_min: int, threshold_nm: float, cell_deg: float = 2.0) -> DataFrame:
-    """Closest approach of nearby pairs, both projected every half minute.
+def _approach(a: np.ndarray, b: np.ndarray, steps: int, limit_nm: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, nm, half minutes) of pairs of (lat, lon, speed, course) rows; with a limit only pairs nearer than it and not at the start.
+
+    The cosine of the angle between two great-circle ways is a sum of two sinusoids of the time, which a recurrence
+    follows without trigonometry; the distance itself is taken only at the steps that may be the least when rounded.
+    """
+    half = np.array([])
+
+    def frame(m):
+        la, lo, co = np.radians(m[:, 0]), np.radians(m[:, 1]), np.radians(m[:, 3])
+        up = np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)])
+        north = np.stack([-np.sin(la) * np.cos(lo), -np.sin(la) * np.sin(lo), np.cos(la)])
+        east = np.stack([-np.sin(lo), np.cos(lo), np.zeros_like(lo)])
+        return up, np.cos(co) * north + np.sin(co) * east, m[:, 2] * geo.KM_PER_NM / 120.0 / geo.EARTH_KM
+
+    (ua, da, wa), (ub, db, wb) = frame(a), frame(b)
+    dot = lambda x, y: (x * y).sum(axis=0)
+    p, q, r, s = dot(ua, ub), dot(ua, db), dot(da, ub), dot(da, db)
+    apart = np.empty((steps, len(a)))  # one minus the cosine
+    waves = []
+    for c, d, w in (((p + s) / 2, (r - q) / 2, wa - wb), ((p - s) / 2, (r + q) / 2, wa + wb)):
+        waves.append([2 * np.cos(w), c * np.cos(w) - d * np.sin(w), c])  # factor, value a step before, value
+    for k in range(steps):
+        apart[k] = 1 - waves[0][2] - waves[1][2]
+        for x in waves:
+            x[1], x[2] = x[2], x[0] * x[2] - x[1]
+    least = np.maximum(apart.min(axis=0), 0)
+    slack = 4e-8 * np.sqrt(2 * least) + 1e-11 + 1e-15 * steps**2  # over a step of the rounding to 4 digits, and the error of the recurrence
+    may = apart <= least + slack
+    if limit_nm is not None:
+        may &= may[1:].any(axis=0) & (least - slack <= 1 - math.cos(min(math.pi, limit_nm * geo.KM_PER_NM / geo.EARTH_KM)))
+    row, k = np.nonzero(may.T)
+    if not len(row):
+        return row, half, half
+
+    def place(m):
+        la, lo, co, far = np.radians(m[row, 0]), np.radians(m[row, 1]), np.radians(m[row, 3]), m[row, 2] * geo.KM_PER_NM * (k / 2) / 60.0 / geo.EARTH_KM
+        lat = np.arcsin(np.clip(np.sin(la) * np.cos(far) + np.cos(la) * np.sin(far) * np.cos(co), -1, 1))
+        return lat, lo + np.arctan2(np.sin(co) * np.sin(far) * np.cos(la), np.cos(far) - np.sin(la) * np.sin(lat))
+
+    (la, lo), (lb, mb) = place(a), place(b)
+    h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin((mb - lo) / 2) ** 2
+    nm = np.round(2 * geo.EARTH_KM * np.arcsin(np.minimum(1, np.sqrt(h))) / geo.KM_PER_NM, 4)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    low = np.minimum.reduceat(nm, first)
+    at = np.minimum.reduceat(np.where(nm == np.repeat(low, np.diff(np.r_[first, len(row)])), k, steps), first)
+    keep = (low < limit_nm) & (at > 0) if limit_nm is not None else slice(None)
+    return row[first][keep], low[keep], at[keep]
+
+
+def closest_approach(points: DataFrame, horizon_min: int, threshold_nm: float, cell_deg: float = 2.0, risk_only: bool = False) -> DataFrame:
+    """Closest approach of nearby pairs, both projected every half minute; points: one row per entity.
 
     Pairs come from a grid over the unit sphere, so neither poles nor 180 degrees are an edge:
     each point is sent to its own and the neighbouring cells, and an equi-join on the cell
     replaces the comparison of all pairs.  A cell is as wide as the threshold and twice the
     way of the fastest point within the horizon (at least cell_deg), so no pair at risk is lost.
+    A pair meets in one cell alone, so its steps are compared where it is found and nothing of
+    it is shuffled.  With risk_only, pairs that start beyond the threshold and both their ways
+    are left out before, and all that are not at risk after.
     """
     fastest = points.agg(F.max(F.abs("speed")).alias("v")).first()["v"] or 0.0
     reach_km = (threshold_nm + 2 * fastest * horizon_min / 60) * geo.KM_PER_NM
     width = max(math.radians(cell_deg), 1.001 * reach_km / geo.EARTH_KM)
     la, lo = F.radians("lat"), F.radians("lon")
     place = {"cx": F.cos(la) * F.cos(lo), "cy": F.cos(la) * F.sin(lo), "cz": F.sin(la)}
-    p = points.select("entity_id", "lat", "lon", "speed", "course", *[F.floor(c / width).alias(k) for k, c in place.items()])
+    state = ["lat", "lon", "speed", "course"]
+    p = points.select("entity_id", *[F.col(c).cast("double").alias(c) for c in state]).withColumns({f"u{k}": c for k, c in place.items()}).withColumns({k: F.floor(F.col(f"u{k}") / width) for k in place})
     near = p
     for k in place:
         near = near.withColumn(k, F.explode(F.array(*[F.col(k) + i for i in (-1, 0, 1)])))
-    near = near.select(*place, *[F.col(c).alias(f"b_{c}") for c in ("entity_id", "lat", "lon", "speed", "course")])
-    pairs = p.join(near, list(place)).where("entity_id < b_entity_id")
-    t = pairs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(2 * horizon_min)))).withColumn("t", F.col("t") / 2)
-    la, lo = geo.project_position(F.col("lat"), F.col("lon"), F.col("speed"), F.col("course"), F.col("t"))
-    lb, mb = geo.project_position(F.col("b_lat"), F.col("b_lon"), F.col("b_speed"), F.col("b_course"), F.col("t"))
-    d = t.withColumn("nm", F.round(geo.haversine_km(la, lo, lb, mb) / geo.KM_PER_NM, 4))
-    best = d.groupBy(F.col("entity_id").alias("a"), F.col("b_entity_id").alias("b")).agg(F.min(F.struct("nm", "t")).alias("x"))
-    return best.select("a", "b", F.col("x.nm").alias("dcpa_nm"), F.col("x.t").alias("tcpa_min"), ((F.col("x.t") > 0) & (F.col("x.nm") < threshold_nm)).alias("at_risk"))
+    near = near.select(*place, *[F.col(c).alias(f"b_{c}") for c in ("entity_id", *state, *[f"u{k}" for k in place])])
+    meet = F.col("entity_id") < F.col("b_entity_id")
+    if risk_only:
+        reach = (threshold_nm + (F.abs("speed") + F.abs("b_speed")) * (horizon_min / 60)) * (1.001 * geo.KM_PER_NM / geo.EARTH_KM)
+        meet = meet & (sum(F.pow(F.col(f"u{k}") - F.col(f"b_u{k}"), F.lit(2.0)) for k in place) <= reach * reach)
+    pairs = p.join(near, list(place)).where(meet).select(F.col("entity_id").alias("a"), F.col("b_entity_id").alias("b"), *state, *[f"b_{c}" for c in state])
+
+    steps = 2 * horizon_min + 1
+    most = max(1, (1 << 20) // steps)  # pairs at a time, for the memory of their steps
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[[*state, *[f"b_{c}" for c in state]]].to_numpy(float)
+            known = np.flatnonzero(np.isfinite(x).all(axis=1))
+            for i in range(0, len(known), most):
+                own = known[i : i + most]
+                row, nm, at = _approach(x[own, :4], x[own, 4:], steps, threshold_nm if risk_only else None)
+                yield pdf[["a", "b"]].iloc[own[row]].assign(dcpa_nm=nm, tcpa_min=at / 2, at_risk=(at > 0) & (nm < threshold_nm))
+            if not risk_only and len(known) < len(pdf):  # nothing is known of where these go
+                yield pdf[["a", "b"]].drop(pdf.index[known]).assign(dcpa_nm=None, tcpa_min=0.0, at_risk=None)
+
+    kind = points.schema["entity_id"].dataType.simpleString()
+    return pairs.mapInPandas(run, f"a {kind}, b {kind}, dcpa_nm double, tcpa_min double, at_risk boolean")
 
 
 def kinematic_features(tracks: DataFrame, history: int = 32) -> DataFrame:

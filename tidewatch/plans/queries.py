@@ -314,8 +314,8 @@ p AS (SELECT a.entity_id AS a, b.entity_id AS b, t, {_A[0]} AS la, {_A[1]} AS lo
 d AS (SELECT a, b, t, round({hav('la', 'lo', 'lb', 'mb')} / 1.852e0, 4) AS nm FROM p)
 SELECT a, b, min(nm) AS dcpa_nm, arg_min(t, (nm, t)) AS tcpa_min FROM d GROUP BY 1, 2 HAVING min(nm) < 300 AND arg_min(t, (nm, t)) > 0""")
 def _(spark, d):
-    found = tracks.closest_approach(tracks.latest(model.tracks(spark, d), 1), 30, 300.0)
-    return found.where("at_risk").select("a", "b", "dcpa_nm", "tcpa_min")
+    found = tracks.closest_approach(tracks.latest(model.tracks(spark, d), 1), 30, 300.0, risk_only=True)
+    return found.select("a", "b", "dcpa_nm", "tcpa_min")
 
 
 def bearing_sql(a, b, c, d):
