@@ -1,10 +1,12 @@
 import math
+import random
+import re
 
 import duckdb
 import pytest
 
 from tidewatch.functions import geo
-from tidewatch.operators import ingest, rules, store, tracks
+from tidewatch.operators import ingest, names as fuzzy, rules, store, tracks
 from tidewatch.plans import queries as Q
 from tidewatch.plans.ql import Engine, QuerySyntaxError, parse
 
@@ -95,6 +97,40 @@ def test_fuzzy_screen_of_short_names(spark):
     assert got == [("a", 1, 75), ("a", 2, 100), ("b", 1, 75), ("b", 2, 100), ("f", 1, 100), ("f", 2, 75)]
 
 
+def test_fuzzy_screen_by_brute_force(spark, monkeypatch):
+    """Names of all lengths, repeated names and lists of several parts; no pair of names is made by a join."""
+    monkeypatch.setattr(rules, "LISTED_ROWS", 40)
+    monkeypatch.setattr(rules, "NAME_ROWS", 30)
+    monkeypatch.setattr(fuzzy, "CELLS", 200)
+    monkeypatch.setattr(fuzzy, "OUT", 7)
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("AB C1") for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["LONG NAME OF A SHIP " * 3, "LONG NAME OF A SHOP " * 3, "ABCABCABC", None]
+    some = [(i, rng.choice(pool)) for i in range(90)]
+    listed = [(i, rng.choice(pool)) for i in range(100)]
+    clean = lambda x: re.sub("[^A-Z0-9]+", " ", (x or "").upper()).strip()
+    grams = lambda x: {x[i : i + 3] for i in range(len(x) - 2)}
+
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    for least, share in ((75, 0.3), (40, 0.5), (0, 0.1)):
+        want = []
+        for (i, n), (k, m) in ((a, b) for a in some for b in listed):
+            n, m = clean(n), clean(m)
+            if n and len(m) >= 3:
+                score = math.floor((1 - far(n, m) / max(len(n), len(m))) * 100 + 0.5)
+                if score >= least and (len(n) < 4 or len(grams(n) & grams(m)) >= max(1, math.ceil(len(grams(n)) * share))):
+                    want.append((i, k, score))
+        df = rules.fuzzy_screen(spark.createDataFrame(some, "entity_id long, name string"), spark.createDataFrame(listed, "list_id long, list_name string"), least, share)
+        assert sorted((r.entity_id, r.list_id, r.score) for r in df.collect()) == sorted(want) and len(want) > 20
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_closest_approach_of_fast_and_wrapping_tracks(spark):
     rows = [("a", 0.0, 0.0, 480.0, 90.0), ("b", 0.0, 6.0, 480.0, 270.0), ("c", 40.0, 179.9, 5.0, 90.0), ("d", 40.0, -179.9, 5.0, 270.0)]
     points = spark.createDataFrame(rows, "entity_id string, lat double, lon double, speed double, course double")

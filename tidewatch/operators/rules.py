@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
 from ..functions import geo
+from .names import screened
+
+#: Rows of a watch list, and names, that one task of a screening holds.
+LISTED_ROWS, NAME_ROWS = 1 << 17, 1 << 14
 
 OPS = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b}
 
@@ -105,26 +109,25 @@ def exact_screen(names: DataFrame, listed: DataFrame) -> DataFrame:
     return a.join(b, "k").select("entity_id", "list_id")
 
 
-def trigrams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, 3)))
-
-
 def fuzzy_screen(names: DataFrame, listed: DataFrame, min_score: int = 75, share: float = 0.3) -> DataFrame:
-    """Trigram candidates by equi-join, kept with at least share of the query's trigrams, then edit distance.
+    """Listed names that share at least `share` of the query's different trigrams and whose edit distance scores min_score.
 
-    Names under 4 characters, of which there are few different ones, are compared with the whole list.
+    Names under 4 characters, of which there are few different ones, need no trigram.  List and names are dealt
+    into parts of bounded size, each pair of parts meets in one task, and the walk over a trie (operators/names)
+    takes the place of comparing all pairs; equal names are compared once a part.
     """
-    every = names.select("entity_id", normalise(F.col("name")).alias("n"))
-    a = every.where("length(n) >= 4").withColumn("g", trigrams(F.col("n")))
-    b = listed.select("list_id", normalise(F.col("list_name")).alias("m")).where("length(m) >= 3").withColumn("h", trigrams(F.col("m")))
-    hits = a.select("entity_id", "n", F.size("g").alias("q"), F.explode("g").alias("t")).join(b.select("list_id", "m", F.explode("h").alias("t")), "t").groupBy("entity_id", "n", "list_id", "m", "q").agg(F.count("*").alias("c")).where(F.col("c") >= F.ceil(F.col("q") * share))
-    score = F.round((1 - F.levenshtein("n", "m") / F.greatest(F.octet_length("n"), F.octet_length("m"))) * 100).cast("int")
-    short = every.where("length(n) between 1 and 3")
-    # a longer name on the list than this scores less than min_score whatever its letters
-    scanned = F.broadcast(short.select("n").distinct()).join(b.select("list_id", "m"), F.round(F.length("n") / F.greatest(F.length("n"), F.length("m")) * 100) >= min_score)
-    scanned = scanned.where(score >= min_score).join(short, "n")
-    both = hits.select("entity_id", "list_id", "n", "m").unionByName(scanned.select("entity_id", "list_id", "n", "m"))
-    return both.select("entity_id", "list_id", score.alias("score")).where(F.col("score") >= min_score).withColumn("risk", F.when(F.col("score") == 100, "confirmed").when(F.col("score") >= 90, "probable").otherwise("possible"))
+    a = names.select("entity_id", normalise(F.col("name")).alias("name")).where("length(name) >= 1").distinct()
+    b = listed.select("list_id", normalise(F.col("list_name")).alias("name")).where("length(name) >= 3").distinct()
+    deal_b = max(1, -(-b.count() // LISTED_ROWS))
+    deal_a = max(1, -(-a.count() // NAME_ROWS), -(-2 * names.sparkSession.sparkContext.defaultParallelism // deal_b))
+    one, many = F.pmod(F.xxhash64("name", "entity_id"), F.lit(deal_a)), F.pmod(F.xxhash64("list_id", "name"), F.lit(deal_b))
+    a = a.select("entity_id", F.lit(None).cast(listed.schema["list_id"].dataType).alias("list_id"), "name", (one * deal_b).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(deal_b - 1))).alias("i"), F.lit(1).alias("side"))
+    b = b.select(F.lit(None).cast(names.schema["entity_id"].dataType).alias("entity_id"), "list_id", "name", many.alias("k"), F.explode(F.sequence(F.lit(0), F.lit((deal_a - 1) * deal_b), F.lit(deal_b))).alias("i"), F.lit(0).alias("side"))
+    both = a.unionByName(b).select((F.col("k") + F.col("i")).cast("int").alias("part"), "side", "entity_id", "list_id", "name")
+    both = both.repartitionById(deal_a * deal_b, F.col("part")).sortWithinPartitions("part", "side")
+    schema = T.StructType([T.StructField("entity_id", names.schema["entity_id"].dataType), T.StructField("list_id", listed.schema["list_id"].dataType), T.StructField("score", T.IntegerType())])
+    found = both.mapInArrow(lambda batches: screened(batches, min_score, share), schema)
+    return found.withColumn("risk", F.when(F.col("score") == 100, "confirmed").when(F.col("score") >= 90, "probable").otherwise("possible"))
 
 
 def match_names(left: DataFrame, right: DataFrame, min_jaccard: float = 0.8) -> DataFrame:
